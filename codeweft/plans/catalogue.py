@@ -1,0 +1,6 @@
+"""Catalogue of the queries over the reference's own operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
