@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import bpe, fingerprints, langid, mixing, simhash, substring_dedup, token_counts, url_filter
+from .common import fold, table, written
+
+#: Where public tokenizers lie; executors have them in the same place.
+TOKENIZERS = "/opt/tokenizers"
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: The pattern that goes with BYTE_BPE.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+MAX_REPEATS = 2.0
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_tokens"))
+    return mixing.mix(written(docs, "mix-tokens"), F.col("n_tokens"), max_repeats=MAX_REPEATS)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.learning_rows(docs))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected", "nats")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = found.select(F.when(F.col("id") != substring_dedup.LAST, F.col("id")).alias("doc_id"), F.explode("spans").alias("x"))
+    return spans.select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +45,27 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "links")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_PATTERN)
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), RULES, url_filter.labelled_urls(spark))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_bpe": op6_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_url_filter": op10_url_filter,
 }
 #: No operator here can be told in SQL that DuckDB runs; tests/llm compares each with a brute-force version.
 ORACLES: dict[str, str] = {}
