@@ -15,8 +15,13 @@ What a chunk is made of - pieces between spaces - is kept too: text that no
 other document shares is looked up piece by piece and only unknown pieces go to
 the library, each once.
 
-Memory: a worker keeps at most PIECES pieces and CHUNK_BYTES of chunks, then
-starts its tables anew.
+Unknown pieces go to the library in one text with a special token between each
+two, which splits before anything else is done; pieces with a part of a special
+token in them go by themselves.
+
+Memory: a worker process keeps at most about PIECES pieces and CHUNK_BYTES of
+chunks over its tasks, then starts the table anew.  A chunk is kept from the second time on:
+of text that never comes again only 8 bytes a chunk are held, SEEN chunks at most.
 
 Defined results: null is the empty text, with no ids; equal rows get equal
 results; the operator returns one row for each row with the ids and the decoded
@@ -34,13 +39,18 @@ from pyspark.sql import functions as F
 
 from .gear import cuts
 
-PIECES = 400_000
+PIECES = 600_000
 CHUNK_BYTES = 48_000_000
+SEEN = 1_000_000
 CHUNK_BITS, CHUNK_LEAST = 8, 64
 #: Pieces longer than this aren't kept.
 LONG_PIECE = 200
 
 
+#: One for each vocabulary in a worker process, which runs many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class Encoder:
     """Encodes whole texts; equal to the library on each of them."""
 
@@ -53,39 +63,72 @@ class Encoder:
         self.tok.no_padding()
         if self.tok.decoder is not None:
             raise ValueError("a vocabulary with a decoder of its own: tokens aren't joined by single spaces")
-        self.forget()
-
-    def forget(self) -> None:
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.names = [self.tok.id_to_token(i) for i in range(size)]
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        special = [(i, x.content) for i, x in self.tok.get_added_tokens_decoder().items() if x.special and not x.lstrip and not x.rstrip]
+        self.stop, self.mark = special[-1] if special else (None, "")
+        self.odd = {x.content[:2] for x in self.tok.get_added_tokens_decoder().values()}
+        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.forget_pieces()
+        self.forget_chunks()
+
+    def forget_pieces(self) -> None:
         #: piece -> (little-endian ids, decoded text)
-        self.pieces: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        # What was used since then moves on from the older table.
+        self.older = self.pieces
+        self.pieces = {"": (b"", "")}
+
+    def forget_chunks(self) -> None:
         #: chunk -> (text up to its first space, ids and decoded text of what is between spaces, text after its last space); None: no space
         self.chunks: dict[bytes, tuple[str, bytes, str, str] | None] = {}
+        self.seen: set[int] = set()
         self.held = 0
 
     def _encode(self, pieces: list[str]) -> list[tuple[bytes, str]]:
-        name = self.tok.id_to_token
-        out = []
-        for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = e.ids
-            out.append((b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([name(i) for i in ids])))
-        return out
+        alone = self.stop is None or any(x in p for p in pieces for x in self.odd)
+        texts = pieces if alone else [self.mark.join(pieces)]
+        found: list[list[int]] = []
+        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+            if alone:
+                found.append(e.ids)
+                continue
+            ids, last = e.ids, 0
+            for _ in range(len(pieces) - 1):
+                at = ids.index(self.stop, last)
+                found.append(ids[last:at])
+                last = at + 1
+            found.append(ids[last:])
+        names, packed = self.names, self.packed
+        return [(b"".join([packed[i] for i in ids]), " ".join([names[i] for i in ids])) for ids in found]
 
     def _learn(self, pieces: set[str]) -> dict[str, tuple[bytes, str]]:
         """Encodes unknown pieces; returns the long ones, which aren't kept."""
-        unknown = list(pieces)
+        odd = [p for p in pieces if any(x in p for x in self.odd)]
+        unknown = list(pieces.difference(odd))
         extra = {}
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
+        for part in [odd, *[unknown[i : i + 2048] for i in range(0, len(unknown), 2048)]]:
+            if not part:
+                continue
             for piece, found in zip(part, self._encode(part)):
                 (self.pieces if len(piece) <= LONG_PIECE else extra)[piece] = found
         return extra
 
     def batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        if len(self.pieces) > PIECES or self.held > CHUNK_BYTES:
-            self.forget()
-        known, chunks = self.pieces, self.chunks
+        if len(self.pieces) > PIECES // 2:
+            self.forget_pieces()
+        if self.held > CHUNK_BYTES or len(self.seen) > SEEN:
+            self.forget_chunks()
+        known, older, chunks = self.pieces, self.older, self.chunks
         plans, fresh, unknown = [], {}, set()
+
+        def need(piece: str) -> None:
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                unknown.add(piece)
+
         for text in texts:
             raw = (text or "").encode("utf-8")
             plan, carry, last = [], "", 0
@@ -100,18 +143,20 @@ class Encoder:
                     words = chunk.decode("utf-8").replace("\n", " ").split(" ")
                     parts = fresh[chunk] = (words[0], words[1:-1], words[-1]) if len(words) > 1 else None
                     if parts:
-                        unknown.update(w for w in parts[1] if w not in known)
+                        for w in parts[1]:
+                            if w not in known:
+                                need(w)
                 if parts is None:
                     carry += chunk.decode("utf-8")
                     continue
                 # The join: the piece over the cut, encoded as a whole.
                 region = carry + parts[0]
                 if region not in known:
-                    unknown.add(region)
+                    need(region)
                 plan += (region, chunk)
                 carry = parts[-1]
             if carry not in known:
-                unknown.add(carry)
+                need(carry)
             plan.append(carry)
             plans.append(plan)
         extra = self._learn(unknown)
@@ -123,14 +168,23 @@ class Encoder:
             if parts:
                 found = [of(w) for w in parts[1]]
                 parts = (parts[0], b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), parts[2])
-                self.held += len(chunk) * 4 + len(parts[1]) + 300
-            chunks[chunk] = parts
+                fresh[chunk] = parts
+            key = hash(chunk)
+            if key in self.seen:
+                chunks[chunk] = parts
+                self.held += len(chunk) * 5 + 300
+            else:
+                self.seen.add(key)
         out = []
         for plan in plans:
             ids, shown = [], []
             for i, x in enumerate(plan):
-                found = chunks[x][1:3] if i % 2 else of(x)
-                if found[0]:
+                if i % 2:
+                    found = chunks[x] if x in chunks else fresh[x]
+                    if found[1]:
+                        ids.append(found[1])
+                        shown.append(found[2])
+                elif (found := of(x))[0]:
                     ids.append(found[0])
                     shown.append(found[1])
             out.append((b"".join(ids), " ".join(shown)))
@@ -156,7 +210,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches):
-        encoder = Encoder(path)
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encoder = _ENCODERS[path]
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in batches_of(texts):
