@@ -93,7 +93,7 @@ def peeled(table: Column, third: int, rounds: int = 24) -> Column:
         found = F.array_distinct(F.transform(pure, lambda z: F.struct(z["c"].alias("c"), _entry(z["k"], third).alias("e"))))
 
         def less(z: Column, f: Column) -> Column:
-            return F.aggregate(F.filter(f, lambda e: _in(e["e"], z["j"])), z, lambda a, e: _cell(a["j"], a["c"] - e["c"], a["k"].bitwiseXOR(e["e.d"]), a["x"].bitwiseXOR(e["e.h"])))
+            return F.aggregate(F.filter(f, lambda e: _in(e["e"], z["j"])), z, lambda a, e: _cell(a["j"], a["c"] - e["c"], a["k"].bitwiseXOR(e["e"]["d"]), a["x"].bitwiseXOR(e["e"]["h"])))
 
         after = _let(found, lambda f: F.struct(F.filter(F.transform(st["cells"], lambda z: less(z, f)), _some).alias("cells"), (st["n"] + F.size(f)).alias("n"), (F.size(f) > 0).alias("on")))
         return F.when(~st["on"] | (F.size(st["cells"]) == 0), st).otherwise(after)

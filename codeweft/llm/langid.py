@@ -152,7 +152,7 @@ class Model:
         sizes = np.array([max(0, len(x) - ORDER + 1) for x in xs], np.int64)
         out = np.zeros((len(xs), len(self.languages)))
         full = np.flatnonzero(sizes)
-        if not len(full):
+        if not len(full) or not self.languages:
             return sizes, out
         x = np.concatenate([xs[i] for i in full]).astype(np.uint64)
         # Positions whose n-gram lies within one text.

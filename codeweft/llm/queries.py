@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, simhash, substring_dedup, token_counts, url_filter
+from . import ann, bpe, fingerprints, langid, mixing, simhash, substring_dedup, token_counts, toxicity, url_filter
 from .common import fold, table, written
 
 #: Where public tokenizers lie; executors have them in the same place.
@@ -18,6 +18,14 @@ MAX_REPEATS = 2.0
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    index = toxicity.fit(toxicity.learning_rows(docs), toxicity.learning_rows(labels))
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "terms")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_tokens"))
     return mixing.mix(written(docs, "mix-tokens"), F.col("n_tokens"), max_repeats=MAX_REPEATS)
@@ -36,6 +44,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
@@ -58,9 +70,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_bpe": op6_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,

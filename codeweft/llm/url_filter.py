@@ -48,11 +48,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def features(host: Column, path: Column) -> Column:
     """Buckets of the distinct character n-grams of host and path."""
 
-    def grams(x: Column, mark: str) -> list[Column]:
+    def grams(x: Column, mark: str, n: int) -> Column:
         padded = F.concat(F.lit("^"), x, F.lit("$"))
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(padded, i, F.lit(n))), F.lit(BUCKETS)).cast("int")) for n in GRAMS]
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(padded, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
 
-    return F.when((host == "") & (path == ""), F.expr("CAST(array() AS array<int>)")).otherwise(F.array_distinct(F.concat(*grams(host, "h"), *grams(path, "p"))))
+    parts = [grams(x, mark, n) for x, mark in ((host, "h"), (path, "p")) for n in GRAMS]
+    return F.when((host == "") & (path == ""), F.expr("CAST(array() AS array<int>)")).otherwise(F.array_distinct(F.concat(*parts)))
 
 
 def _dot(xs: Column, ys: Column) -> Column:
