@@ -1,0 +1,16 @@
+"""Reachability over call edges, as sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .inheritance import closure
+
+
+def reachable(calls: DataFrame) -> DataFrame:
+    """(path, callee): everything that the file, as its own first caller, leads to; calls (path, caller, callee)."""
+    key = [F.concat_ws("\x00", "path", c).alias(n) for c, n in (("caller", "src"), ("callee", "dst"))]
+    found = closure(calls.select(*key).distinct()).select("src", "dst")
+    parts = found.select(F.split("src", "\x00").alias("s"), F.split("dst", "\x00").alias("d"))
+    return parts.filter(F.col("s")[0] == F.col("s")[1]).select(F.col("s")[0].alias("path"), F.col("d")[1].alias("callee")).distinct()
