@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs: its lines, and within a line at the white space
-after a sentence's end.  The set of the paragraphs' 64-bit digests goes into a
+A text is cut into paragraphs: its lines, and within a line at the first end of
+a sentence after every PARAGRAPH characters.  The set of the paragraphs' 64-bit digests goes into a
 table of cells; a digest falls into one cell of each third of the table.  A cell
 holds a count, the XOR of its digests and the XOR of their checks.  The cells of
 two versions subtract (counts subtract, the rest is XORed), and what they share
@@ -37,7 +37,8 @@ THIRD = 9
 CELLS = 9
 BUCKET_DOCS = 1024
 QUANTILES = 256
-CUT = r"\n|(?<=[.!?])\s+"
+PARAGRAPH = 120
+PIECE = r"[^\n]{%d,}?[.!?](?=[ \t\x0b\f\r])|[^\n]+" % PARAGRAPH
 
 
 def _let(value: Column, then) -> Column:
@@ -47,7 +48,7 @@ def _let(value: Column, then) -> Column:
 
 def digests(text: Column) -> Column:
     """Sorted distinct digests of the paragraphs."""
-    parts = F.filter(F.split(text, CUT), lambda p: p != "")
+    parts = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
@@ -147,18 +148,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     known = rows.agg(F.count("*"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).collect()[0]
     bounds = sorted(set(known[1] or [0]))
     parts = max(1, -(-known[0] // (QUANTILES * BUCKET_DOCS)))
-
-    def place(lo: int, hi: int) -> Column:
-        """The bucket of a doc_id that is bounds[lo] or more (lo 0: any) and less than bounds[hi]: a tree of comparisons."""
-        if hi - lo > 1:
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") < bounds[mid], place(lo, mid)).otherwise(place(mid, hi))
-        a, b = bounds[lo], bounds[hi] if hi < len(bounds) else bounds[lo] + 1
-        part = F.floor((F.col("doc_id").cast("double") - float(a)) / max(1.0, float(b) - float(a)) * parts)
-        return (F.lit(lo * parts) + F.least(F.lit(parts - 1), F.greatest(F.lit(0), part))).cast("bigint")
-
+    # The quantiles are a constant; a range between two of them is cut evenly.
+    table = F.split(F.lit(",".join(map(str, [*bounds, bounds[-1] + 1]))), ",").cast("array<bigint>")
+    at = F.greatest(F.lit(1), F.size(F.filter(table, lambda b: b <= F.col("doc_id"))))
+    low, high = F.get(table, at - 1).cast("double"), F.coalesce(F.get(table, at), F.get(table, at - 1) + 1).cast("double")
+    part = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(F.lit(1.0), high - low) * parts)
     # Rows without doc_id come last, dealt by their text.
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(64))).otherwise(place(0, len(bounds)))
+    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(64))).otherwise(at * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), part))).cast("bigint")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
     dealt = rows.withColumn("bucket", bucket)
     found = dealt.withColumn("next_text", F.lead("text").over(order))

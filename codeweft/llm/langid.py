@@ -41,7 +41,7 @@ SAMPLE_DOCS = 3000
 MAX_GRAMS = 1_000_000
 MAX_LANGUAGES = 500
 CALIBRATION = 5
-REJECT_QUANTILE, REJECT_MARGIN = 0.999, 2.0
+REJECT_QUANTILE, REJECT_MARGIN = 0.999, 3.0
 #: Characters over which a text's cross-entropy settles.
 SETTLE = 200
 BASE = np.uint64(0x9E3779B97F4A7C15)

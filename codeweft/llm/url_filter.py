@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 GRAMS = (2, 3, 4)
 BUCKETS = 4096
 STEPS, RATE, PENALTY = 400, 0.5, 0.01
@@ -76,7 +78,8 @@ def train(labelled: DataFrame) -> DataFrame:
         both = F.sqrt(F.greatest(F.size(a), F.lit(1)).cast("double") * F.greatest(F.size(b), F.lit(1)))
         return F.size(F.array_intersect(a, b)) / both
 
-    one = one.withColumn("k", F.transform("fs", lambda a: F.transform("fs", lambda b: product(a, b))))
+    # A row of a few thousand numbers, written so that it is computed once.
+    one = written(one.withColumn("k", F.transform("fs", lambda a: F.transform("fs", lambda b: product(a, b)))), "url-products")
     n = F.greatest(F.size("ys"), F.lit(1))
 
     def step(st: Column, _: Column) -> Column:
@@ -86,7 +89,7 @@ def train(labelled: DataFrame) -> DataFrame:
         return held[0]
 
     begin = F.struct(F.transform("ys", lambda y: F.lit(0.0)).alias("a"), F.lit(0.0).alias("b"))
-    fit = one.select("fs", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, step).alias("m"))
+    fit = written(one.select("fs", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, step).alias("m")), "url-model")
     spread = fit.select(F.posexplode("fs").alias("i", "f"), "m").select(F.explode("f").alias("j"), (F.col("m.a")[F.col("i")] / F.sqrt(F.size("f").cast("double"))).alias("w"))
     sums = spread.groupBy("j").agg(F.sum("w").alias("w"))
     full = F.map_from_entries(F.collect_list(F.struct("j", "w")))

@@ -6,7 +6,7 @@ from codeweft.llm import fingerprints as fp
 
 
 def paragraphs(text):
-    return {p for p in re.split(r"\n|(?<=[.!?])[ \t\n\x0b\f\r]+", text) if p}
+    return set(re.findall(r"[^\n]{120,}?[.!?](?=[ \t\x0b\f\r])|[^\n]+", text))
 
 
 def slow(rows):
