@@ -139,24 +139,29 @@ class InheritanceFrame:
         return self.classes.join(self.edges.select(F.col("parent").alias("class")), "class", "left_anti")
 
     def _each(self, members: DataFrame, fn, schema: str) -> DataFrame:
-        """fn(group, bases) over the edges of each group; members: (group, class)."""
-        out = members.join(self.edges.select(F.col("child").alias("class"), "parent", "file", "ord"), "class", "left")
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            bases: dict[str, list[str]] = {}
-            ordered = pdf.sort_values(["class", "file", "ord", "parent"], na_position="first")
-            for name, parent in zip(ordered["class"], ordered["parent"]):
-                mine = bases.setdefault(name, [])
-                if isinstance(parent, str) and parent not in mine:
-                    mine.append(parent)
-            return fn(pdf["group"].iloc[0], bases)
-
-        return out.groupBy("group").applyInPandas(run, schema)
+        """fn(group, bases) over the edges of each group, many groups to a batch; members: (group, class)."""
+        edges = self.edges.select(F.col("child").alias("class"), "parent", "file", "ord")
+        rows = members.join(edges, "class", "left").groupBy("group").agg(F.collect_list(F.struct("class", "file", "ord", "parent")).alias("rows"))
+
+        def run(frames):
+            for pdf in frames:
+                out = []
+                for group, held in zip(pdf["group"], pdf["rows"]):
+                    bases: dict[str, list[str]] = {}
+                    for r in sorted(held, key=lambda r: (r["class"], r["file"] or "", r["ord"] or 0, r["parent"] or "")):
+                        mine = bases.setdefault(r["class"], [])
+                        if r["parent"] is not None and r["parent"] not in mine:
+                            mine.append(r["parent"])
+                    out += fn(group, bases)
+                yield pd.DataFrame(out, columns=names)
+
+        names = [part.split()[0] for part in schema.split(", ")]
+        return rows.mapInPandas(run, schema)
 
     def mro(self) -> DataFrame:
         """(class, mro array): method resolution orders. A group is a class with its ancestors."""
         members = self.classes.select(F.col("class").alias("group"), "class").unionByName(self.ancestors().select(F.col("class").alias("group"), F.col("ancestor").alias("class")))
-        return self._each(members, lambda g, bases: pd.DataFrame({"class": [g], "mro": [linearised(bases, g)]}), "class string, mro array<string>")
+        return self._each(members, lambda g, bases: [(g, linearised(bases, g))], "class string, mro array<string>")
 
     def cycles(self) -> DataFrame:
         """(cycle array): one for each edge that closes a cycle, its smallest name first. A group is a set of classes that reach each other."""
@@ -164,9 +169,9 @@ class InheritanceFrame:
         mutual = self.up.select("src", "dst").join(back, ["src", "dst"], "left_semi")
         members = mutual.groupBy("src").agg(F.min("dst").alias("group")).select("group", F.col("src").alias("class"))
 
-        def run(g: str, bases: dict[str, list[str]]) -> pd.DataFrame:
+        def run(g: str, bases: dict[str, list[str]]) -> list[tuple]:
             inside = {c: [p for p in ps if p in bases] for c, ps in bases.items()}
-            return pd.DataFrame({"cycle": list(cycles_of(inside))})
+            return [(c,) for c in cycles_of(inside)]
 
         return self._each(members, run, "cycle array<string>")
 

@@ -109,8 +109,8 @@ def cst_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tops.join(call.groupBy("c.path").agg(F.count("*").alias("calls")), "path", "left").select("path", "nodes", F.coalesce("calls", F.lit(0)).cast("bigint").alias("calls"))
 
 
-@query(f"""WITH x AS ({_PY_LINES}) SELECT path, rtrim(string_agg(CASE WHEN w THEN 'from ' || t || '.' || a || ' import *' WHEN m THEN 'import ' || t || ' as m' || k
- WHEN u THEN 'from ' || t || '.' || a || ' import ' || b || ' as p' || k || chr(10) || 'p' || k || '.run(' || p_size || ')  ' ELSE 'from ' || t || '.' || a || ' import ' || b || ' as p' || k END, chr(10) ORDER BY k)) AS stripped FROM x GROUP BY path""")
+@query(f"""WITH x AS ({_PY_LINES}) SELECT path, string_agg(CASE WHEN w THEN 'from ' || t || '.' || a || ' import *' WHEN m THEN 'import ' || t || ' as m' || k
+ WHEN u THEN 'from ' || t || '.' || a || ' import ' || b || ' as p' || k || chr(10) || 'p' || k || '.run(' || p_size || ')  ' ELSE 'from ' || t || '.' || a || ' import ' || b || ' as p' || k END, chr(10) ORDER BY k) AS stripped FROM x GROUP BY path""")
 def strip_comments_py(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.strip_comments(corpora.python_imports(spark, sf_dir)).select("path", "stripped")
 
@@ -119,12 +119,12 @@ _JS_LINES = """SELECT o_orderkey AS k, o_custkey AS c, lower(o_orderstatus) AS s
 _JS_MODULE = "CASE q WHEN 0 THEN '@' || s || '/pkg-' || c WHEN 1 THEN 'm/' || c ELSE 'lib' || c END"
 
 
-@query(f"""WITH x AS ({_JS_LINES}) SELECT path, rtrim(string_agg(CASE q WHEN 0 THEN 'const v' || k || ' = require("@' || s || '/pkg-' || c || '");' WHEN 1 THEN 'import {{ a' || k || ' as v' || k || ' }} from "m/' || c || '";' ELSE 'import v' || k || ' from "lib' || c || '";' END
- || CASE WHEN u THEN chr(10) || 'v' || k || '.go(' || c || '); ' ELSE '' END, chr(10) ORDER BY k)) AS stripped FROM x GROUP BY path""")
+@query(f"""WITH x AS ({_JS_LINES}) SELECT path, string_agg(CASE q WHEN 0 THEN 'const v' || k || ' = require("@' || s || '/pkg-' || c || '");' WHEN 1 THEN 'import {{ a' || k || ' as v' || k || ' }} from "m/' || c || '";' ELSE 'import v' || k || ' from "lib' || c || '";' END
+ || CASE WHEN u THEN chr(10) || 'v' || k || '.go(' || c || '); ' ELSE '' END, chr(10) ORDER BY k) AS stripped FROM x GROUP BY path""")
 def strip_comments_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JavaScript's comments are tokens: no parsing, no Python."""
     rows = corpora.javascript_imports(spark, sf_dir)
-    return rows.select("path", F.rtrim(C.without_comments(F.col("content"), "javascript")).alias("stripped"))
+    return rows.select("path", C.without_comments(F.col("content"), "javascript").alias("stripped"))
 
 
 # -- imports -----------------------------------------------------------------------------
@@ -300,7 +300,7 @@ def inherit_is_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH x AS (SELECT p_partkey AS k, unnest(['A', 'B', 'C', 'D']) AS q FROM part) SELECT q || k AS class, CASE q WHEN 'A' THEN 'A' || k WHEN 'B' THEN 'B' || k || '|A' || k WHEN 'C' THEN 'C' || k || '|A' || k ELSE 'D' || k || '|B' || k || '|C' || k || '|A' || k END AS mro FROM x""")
 def inherit_mro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diamonds: D has B and C, which both have A."""
-    pairs = F.expr("array(struct(0 AS o, concat('B', p_partkey) AS c, concat('A', p_partkey) AS p), struct(0, concat('C', p_partkey), concat('A', p_partkey)), struct(0, concat('D', p_partkey), concat('B', p_partkey)), struct(1, concat('D', p_partkey), concat('C', p_partkey)))")
+    pairs = F.expr("array(struct(0 AS o, concat('B', p_partkey) AS c, concat('A', p_partkey) AS p), struct(0 AS o, concat('C', p_partkey) AS c, concat('A', p_partkey) AS p), struct(0 AS o, concat('D', p_partkey) AS c, concat('B', p_partkey) AS p), struct(1 AS o, concat('D', p_partkey) AS c, concat('C', p_partkey) AS p))")
     edges = table(spark, sf_dir, "part").select(F.explode(pairs).alias("e")).select(F.col("e.c").alias("child"), F.col("e.p").alias("parent"), F.col("e.o").alias("ord"))
     return InheritanceFrame(edges).mro().select("class", joined("mro").alias("mro"))
 

@@ -74,7 +74,7 @@ def go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = rows.groupBy("s_nationkey", F.expr("s_suppkey DIV 1000").alias("d")).agg(F.min("s_suppkey").alias("s_suppkey")).select("s_nationkey", "s_suppkey")
     head = opened.select("*", F.lit(-1).alias("o"), F.lit("package p\n\nimport (").alias("line"))
     close = opened.select("*", F.lit(1).alias("o"), F.lit(")\n").alias("line"))
-    calls = rows.filter("s_suppkey % 4 = 0").select("*", F.lit(2).alias("o"), text("func F{k}() {\n\ta{k}.Do()\n", **SUPPLIER).alias("line")).withColumn("line", F.concat("line", F.lit("}")))
+    calls = rows.filter("s_suppkey % 4 = 0").select("*", F.lit(2).alias("o"), _braces("func F{k}() <<\n\ta{k}.Do()\n>>", **SUPPLIER).alias("line"))
     parts = [x.select("s_nationkey", "s_suppkey", F.struct("o", "s_suppkey").alias("k"), "line") for x in (head, imports, close, calls)]
     both = parts[0]
     for p in parts[1:]:
