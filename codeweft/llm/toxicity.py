@@ -40,7 +40,7 @@ from .common import fold, written
 
 MAX_EXAMPLES = 8000
 MAX_TERMS = 20_000
-CHI2, LEAST_DOCS = 25.0, 5
+CHI2, LEAST_DOCS = 60.0, 20
 BLOCK, NEAREST, GAP = 64, 25, 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
