@@ -151,7 +151,10 @@ class Parser:
         return False
 
     def leaf(self, kind: str | None = None) -> Node:
-        """The next token as a leaf."""
+        """The next token as a leaf; an empty one at the end of the text."""
+        if self.i >= len(self.toks):
+            end = len(self.source.text)
+            return Node("ERROR", end, end, self.source)
         t = self.toks[self.i]
         self.i += 1
         return Node(kind or self.leaf_type(t), t.start, t.end, self.source)

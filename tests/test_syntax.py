@@ -111,12 +111,12 @@ def test_python_calls():
     assert ("f//C//m", "f//C//self//h", [["1"]]) in got and ("f//C//m", "lib//go", [["'x'"]]) in got or ("f//C//m", "go", [["'x'"]]) in got
     assert ("f", "f//C", [["2"]]) in got and ("f", "f//C//m", []) in got
     assert ("f//C", "f//C//__init__", []) in got and ("f//C//self//m", "f//C//m", []) in got
-    assert ("f", "os//path//join", [["f//C", "1", "'two'"]]) in got
+    assert ("f", "os//path//join", [["1", "f//C", "'two'"]]) in got
     assert not any(c[1].endswith("unknown") for c in got)
 
 
 def test_java_calls():
-    text = 'import java.util.List;\nclass A {\n void run() { int n = 5; String s = "q"; n = 7; List.of(n, s); a.b.C.go(1).then(2); new A().run(); helper(); }\n void helper() {}\n public static void main(String[] x) { A a = new A(); a.run(); }\n}\n'
+    text = 'import java.util.List;\nclass A {\n void run() { int n = 5; String s = "q"; n = 7; List.of(n, s); a.b.C.go().then(2); new A().run(); helper(); }\n void helper() {}\n public static void main(String[] x) { A a = new A(); a.run(); }\n}\n'
     got = calls(text, "java")
     assert ("f//A//run", "java//util//List//of", [["5", "7"], ['"q"']]) in got
     assert ("f//A//run", "a//b//C//go", [["2"]]) in got and ("f", "f//A//main", []) in got
