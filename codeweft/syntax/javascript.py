@@ -465,8 +465,8 @@ class JavaScriptParser(Parser):
                 if self.skip("."):
                     return self.make("meta_property", start, [self.leaf("property_identifier")])
                 made = self.prefix()
-                while self.at(".", "["):
-                    made = self.postfix(made) or made
+                while self.at(".", "[") and (more := self.postfix(made)) is not None:
+                    made = more
                 args = self.arguments() if self.at("(") else None
                 return self.make("new_expression", start, [made, args], constructor=made, arguments=args)
             if t.text == "await":
