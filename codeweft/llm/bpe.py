@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .gear import cuts
 
 PIECES = 600_000
-CHUNK_BYTES = 48_000_000
-SEEN = 1_000_000
+CHUNK_BYTES = 32_000_000
+SEEN = 500_000
 CHUNK_BITS, CHUNK_LEAST = 8, 64
 #: Pieces longer than this aren't kept.
 LONG_PIECE = 200
