@@ -63,7 +63,7 @@ def source_files(spark: SparkSession, app_dirs: Iterable[str], import_dirs: Iter
     """Files under directories, of the languages asked for; imports only if asked for.
 
     Only names with a fitting extension are listed; the content is read for the
-    rows and queries that need it.
+    rows and queries that need it. Spark's reader gives no row for an empty file.
     """
     wanted = [e for c in codes for e in language(c)[2]]
     out = None
