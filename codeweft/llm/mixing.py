@@ -12,9 +12,10 @@ A quota is realised by permutations of blocks: a source's documents fall into
 blocks of about BLOCK_DOCS by a seeded hash, in seeded order within a block.
 They are taken in that order, again and again, until the quota ends; the last
 copy of a document is taken only if it fits the quota whole.  Running sums are
-taken within blocks, and over the sums of blocks, so that no task holds a
-source.  Positions along the quota give the output block, so that each output
-block holds the sources in their weights.
+taken within blocks, within groups of GROUP_BLOCKS blocks and over the groups,
+so that no task holds a source or all its blocks.  Positions along the quota
+give the output block, so that each output block holds the sources in their
+weights.
 
 The plan is DataFrame operations throughout.  The table of sources has one row
 each and is refused beyond MAX_SOURCES, so it can be broadcast.
@@ -33,6 +34,7 @@ from .common import written
 
 MAX_SOURCES = 10_000
 BLOCK_DOCS = 1024
+GROUP_BLOCKS = 1024
 HIGHEST = 16.0
 STEPS = 60
 ADDED = ("mix_copy", "mix_block", "mix_order")
@@ -116,9 +118,15 @@ def mix(docs: DataFrame, tokens: Column, entropy: float | None = None, max_repea
         both = x.alias("w").join(F.broadcast(weights).alias("q"), F.col("w.src").eqNullSafe(F.col("q.source")))
         return both.select("w.*", "q.tokens", "q.quota", F.col("q.source").isNull().alias("nul"), F.coalesce("q.source", F.lit("")).alias("key"), F.pmod(who, blocks).alias("block"), F.xxhash64(F.lit(seed + 1), who).alias("rank"))
 
-    sums = placed(slim).groupBy("nul", "key", "block").agg(F.sum("n").alias("held"))
-    before = Window.partitionBy("nul", "key").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("nul", "key", "block", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
+    sums = placed(slim).groupBy("nul", "key", "block").agg(F.sum("n").alias("held")).withColumn("group", F.expr(f"block DIV {GROUP_BLOCKS}"))
+    sums = written(sums, "mix-blocks")
+    # Sums before a block: of the groups of blocks before its own, and of the blocks before it in its group.
+    groups = sums.groupBy("nul", "key", "group").agg(F.sum("held").alias("all"))
+    before = Window.partitionBy("nul", "key").orderBy(F.xxhash64(F.lit(seed + 4), "group"), "group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("nul", "key", "group", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("nul", "key", "group").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("more", F.coalesce(F.sum("held").over(within), F.lit(0))).join(groups, ["nul", "key", "group"])
+    offsets = offsets.select("nul", "key", "block", (F.col("first") + F.col("more")).alias("offset"))
     inside = Window.partitionBy("nul", "key", "block").orderBy("rank", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
     at = placed(rows).withColumn("upto", F.sum("n").over(inside)).join(offsets, ["nul", "key", "block"])
     at = at.withColumn("upto", F.col("upto") + F.col("offset"))

@@ -49,6 +49,7 @@ def test_repetition_limit_and_least_budget(spark):
 
 def test_copies_fit_the_quotas(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(mixing, "GROUP_BLOCKS", 3)
     rng = random.Random(6)
     rows = [(i, "w " * rng.randrange(1, 40), "en", rng.choice(["hot"] * 6 + ["b", None, "c"]), 1) for i in range(300)]
     rows += [(500, "", "en", "b", 0), (501, None, None, None, None), (502, "x", "en", "empty", 1), (3, rows[3][1], "en", rows[3][3], 1)]
