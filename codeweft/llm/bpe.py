@@ -22,6 +22,7 @@ token in them go by themselves.
 Memory: a worker process keeps at most about PIECES pieces and CHUNK_BYTES of
 chunks over its tasks, then starts the table anew.  A chunk is kept from the second time on:
 of text that never comes again only 8 bytes a chunk are held, SEEN chunks at most.
+Batches are worked off in slices of SLICE_BYTES, one whole text at least.
 
 Defined results: null is the empty text, with no ids; equal rows get equal
 results; the operator returns one row for each row with the ids and the decoded
@@ -34,14 +35,17 @@ import hashlib
 import os
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gear import cuts
 
-PIECES = 600_000
+PIECES = 400_000
 CHUNK_BYTES = 32_000_000
 SEEN = 500_000
+#: Bytes of text that become Python strings at one time.
+SLICE_BYTES = 500_000
 CHUNK_BITS, CHUNK_LEAST = 8, 64
 #: Pieces longer than this aren't kept.
 LONG_PIECE = 200
@@ -191,12 +195,12 @@ class Encoder:
         return out
 
 
-def batches_of(texts: list, most_chars: int = 4_000_000):
-    """Slices of a batch with so many characters at most, one text at least."""
+def batches_of(texts: pa.Array, most_bytes: int = SLICE_BYTES):
+    """Slices of an Arrow array of texts with so many bytes at most, one text at least."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= most_chars:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held >= most_bytes:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):
@@ -214,9 +218,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             for a, b in batches_of(texts):
-                found = encoder.batch(texts[a:b])
+                found = encoder.batch(texts.slice(a, b - a).to_pylist())
                 key = keys.slice(a, b - a)
                 if digests:
                     yield pa.RecordBatch.from_arrays(
