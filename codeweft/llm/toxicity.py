@@ -2,16 +2,19 @@
 
 Labelled examples are drawn from the labelled rows up to MAX_EXAMPLES of either
 label in expectation, by a hash of doc_id; the draw is weighted back in the
-votes.  Terms are lower-cased words whose presence depends on the label by a
-chi-square test (at least CHI2); all other words would only dilute the cosine
-with noise.  A vector holds (1 + ln count) * idf of its terms.
+votes.  Every lower-cased word of the examples is a term.  A vector holds
+(1 + ln count) * weight of its terms; a term's weight is its idf times its
+dependence on the label (chi-square over the number of examples, so that it does
+not change with their number), which keeps the many words that tell nothing from
+drowning the few that do.
 
 Examples with equal vectors are one entry of the index with their labels summed.
 Entries are numbered by their heaviest term, so that alike ones are near each
 other; a term's postings fall into blocks of BLOCK entries, each with the term's
-largest weight in it.  A query adds up these maxima over its terms for each
-block, visits the blocks by falling bound and stops when no bound exceeds the
-least of the nearest found so far.  The result is the exact nearest neighbours.
+largest weight in it.  A query adds up postings by falling bound of its terms.
+Once the terms left can't bring many entries among the nearest - by the sum of
+their largest weights in each block - the entries that still could be are scored
+whole.  The result is the exact nearest neighbours.
 
 The NEAREST nearest entries vote, those that tie with the last included, with
 weight 1 / (GAP + 1 - cosine).  Votes become probabilities by isotonic
@@ -30,18 +33,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, written
 
 MAX_EXAMPLES = 8000
-MAX_TERMS = 20_000
-CHI2, LEAST_DOCS = 60.0, 20
+#: Added to a term's dependence on the label, so that no term vanishes.
+LEAST_WEIGHT = 1e-6
 BLOCK, NEAREST, GAP = 64, 25, 0.05
+#: Entries that are scored whole at once, at most, unless all terms are added up.
+MANY = 200
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,43 +59,62 @@ def terms_of(text: str | None) -> list[str]:
 class Index:
     """Entries (term weights, label sums, an example) with block-max postings."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[int, float, float, dict[int, int]]]):
-        """terms: word -> idf. examples: (doc_id, label, weight, counts by term number)."""
+    def __init__(self, terms: dict[str, float], examples: Iterable[tuple[int, float, float, dict[int, int]]]):
+        """terms: word -> weight. examples: (doc_id, label, weight, counts by term number)."""
         self.number = {w: i for i, w in enumerate(terms)}
         self.words = list(terms)
         self.idf = np.array(list(terms.values()))
-        held: dict[tuple, list] = {}
+        held: dict[bytes, list] = {}
         for doc, label, weight, counts in examples:
-            entry = held.setdefault(tuple(sorted(counts.items())), [0.0, 0.0, []])
+            entry = held.setdefault(np.array(sorted(counts.items()), np.int32).tobytes(), [0.0, 0.0, []])
             entry[0] += weight
             entry[1] += weight * label
             entry[2].append((doc, label, weight))
-        vectors = {k: self.vector(k) for k in held}
-        keys = sorted(held, key=lambda k: (vectors[k][0][np.argmax(vectors[k][1])] if k else -1, k))
-        self.all = [held[k][0] for k in keys]
-        self.toxic = [held[k][1] for k in keys]
-        self.examples = [sorted(held[k][2])[:3] for k in keys]
-        self.own = {k: (i, held[k][2]) for i, k in enumerate(keys)}
-        self.blank = next((i for i, k in enumerate(keys) if not k), None)
-        posts: list[list] = [[] for _ in terms]
-        for i, k in enumerate(keys):
-            for t, w in zip(*vectors[k]):
-                posts[t].append((i, w))
-        #: term -> (entries, weights, block numbers, where each block begins, largest weight in each)
-        self.posts = []
-        for p in posts:
-            entry, weight = np.array([x[0] for x in p], np.int64), np.array([x[1] for x in p])
-            block, begin = np.unique(entry // BLOCK, return_index=True)
-            top = np.maximum.reduceat(weight, begin) if len(p) else weight
-            self.posts.append((entry, weight, block, np.append(begin, len(p)), top))
-        self.cache: dict[tuple, tuple] = {}
+        keys = {k: np.frombuffer(k, np.int32).reshape(-1, 2) for k in held}
+        vectors = {k: self._unit(x[:, 0].astype(np.int64), x[:, 1]) for k, x in keys.items()}
+        order = sorted(held, key=lambda k: (vectors[k][0][np.argmax(vectors[k][1])] if k else -1, k))
+        self.all = [held[k][0] for k in order]
+        self.toxic = [held[k][1] for k in order]
+        self.examples = [sorted(held[k][2])[:3] for k in order]
+        #: Of each entry: its (term, count) rows and its examples.
+        self.sources = [(keys[k], held[k][2]) for k in order]
+        self.blank = next((i for i, k in enumerate(order) if not k), None)
+        sizes = np.array([len(keys[k]) for k in order], np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(sizes)))
+        self.term = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0)]).astype(np.int32)
+        self.weight = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])
+        #: Postings by term: entries and weights; blocks with the largest weight in each.
+        by = np.argsort(self.term, kind="stable")
+        self.entry, self.posted = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by], self.weight[by]
+        term = self.term[by]
+        self.post = np.searchsorted(term, np.arange(len(terms) + 1))
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(self.entry // BLOCK, prepend=-1) != 0))
+        self.block, self.top = self.entry[first] // BLOCK, np.maximum.reduceat(self.posted, first) if len(first) else self.posted
+        self.blocks = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        self.most = np.zeros(len(terms))
+        np.maximum.at(self.most, term, self.posted)
+        self.cache: dict[bytes, tuple] = {}
+        #: A query's weights by term number, zero between queries.
+        self.scratch: np.ndarray | None = None
         self.steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
+    def __getstate__(self) -> dict:
+        """What scoring needs: not the entries' sources."""
+        return {k: v for k, v in self.__dict__.items() if k != "sources"} | {"cache": {}, "scratch": None}
+
+    @property
+    def own(self) -> dict[tuple, tuple]:
+        """Key -> (entry, examples)."""
+        return {tuple(map(tuple, x.tolist())): (i, e) for i, (x, e) in enumerate(self.sources)}
+
+    def _unit(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[t]
+        return t, w / math.sqrt(float(w @ w)) if len(t) else w
+
     def vector(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights, of length 1."""
-        t = np.array([x[0] for x in key], np.int64)
-        w = np.array([1 + math.log(x[1]) for x in key]) * self.idf[t]
-        return t, w / math.sqrt(float(w @ w)) if len(key) else w
+        x = np.array(key, np.int64).reshape(-1, 2)
+        return self._unit(x[:, 0], x[:, 1])
 
     def key(self, words: list[str]) -> tuple:
         number = self.number
@@ -97,32 +123,44 @@ class Index:
     def nearest(self, key: tuple, k: int) -> list[tuple[float, int]]:
         """(cosine, entry) of the k nearest entries by falling cosine, ties with the last included; only those above 0."""
         terms, weights = self.vector(key)
-        bound: dict[int, float] = {}
-        for t, w in zip(terms, weights):
-            _, _, block, _, top = self.posts[t]
-            for b, x in zip(block.tolist(), (top * w).tolist()):
-                bound[b] = bound.get(b, 0.0) + x
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in sorted(bound, key=lambda b: (-bound[b], b)):
-            # A margin for rounding: bound and cosine add up in different order.
-            if len(found) >= k and bound[b] < least - 1e-9:
+        bound = weights * self.most[terms]
+        by = np.argsort(-bound, kind="stable")
+        terms, weights, bound = terms[by], weights[by], bound[by]
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+        sums = np.zeros(len(self.all))
+        at, step, least = 0, 4, 0.0
+        while True:
+            for t, w in zip(terms[at : at + step].tolist(), weights[at : at + step].tolist()):
+                part = slice(self.post[t], self.post[t + 1])
+                sums[self.entry[part]] += self.posted[part] * w
+            at = min(at + step, len(terms))
+            if at == len(terms):
+                near = np.flatnonzero(sums)
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                entry, weight, block, begin, _ = self.posts[t]
-                at = np.searchsorted(block, b)
-                if at < len(block) and block[at] == b:
-                    part = slice(begin[at], begin[at + 1])
-                    sums[entry[part] - b * BLOCK] += weight[part] * w
-            found += [(float(sums[i]), b * BLOCK + int(i)) for i in np.flatnonzero(sums)]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            if len(found) > k:
-                least = found[k - 1][0]
-                found = [x for x in found if x[0] >= least - 1e-9]
-            elif len(found) == k:
-                least = found[-1][0]
-        return found
+            # Sums only grow: the k-th largest now is a lower bound of the k-th cosine.
+            least = float(np.partition(sums, -k)[-k]) if len(sums) > k else 0.0
+            if rest[at] < least:
+                near = np.flatnonzero(sums >= least - rest[at] - 1e-9)
+                if len(near) > MANY:
+                    left = [(self.blocks[t], self.blocks[t + 1], w) for t, w in zip(terms[at:].tolist(), weights[at:].tolist())]
+                    block = np.concatenate([self.block[a:b] for a, b, _ in left])
+                    more = np.bincount(block, np.concatenate([self.top[a:b] * w for a, b, w in left]), len(sums) // BLOCK + 1)
+                    near = near[sums[near] + more[near // BLOCK] >= least - 1e-9]
+                if len(near) <= MANY:
+                    break
+            step *= 2
+        if self.scratch is None:
+            self.scratch = np.zeros(len(self.idf))
+        q = self.scratch
+        q[terms] = weights
+        found = []
+        for i in near.tolist():
+            part = slice(self.begin[i], self.begin[i + 1])
+            found.append((float(self.weight[part] @ q[self.term[part]]), i))
+        q[terms] = 0.0
+        found.sort(key=lambda x: (-x[0], x[1]))
+        least = found[k - 1][0] if len(found) >= k else 0.0
+        return [x for x in found if x[0] >= least - 1e-9]
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, float, float] | None = None) -> float:
         """Weighted share of label 1. without: an entry with a weight and a label sum to be left out."""
@@ -143,8 +181,8 @@ class Index:
     def calibrate(self) -> None:
         """Isotonic regression of the labels on the leave-one-out votes."""
         points = []
-        for key, (i, examples) in self.own.items():
-            near = self.neighbours(key)
+        for i, (counts, examples) in enumerate(self.sources):
+            near = self.neighbours(tuple(map(tuple, counts.tolist())))
             for label in (0.0, 1.0):
                 mine = [w for _, y, w in examples if y == label]
                 if mine:
@@ -166,16 +204,19 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
         """(score, nearest examples, terms) of one text."""
-        key = self.key(terms_of(text))
-        if key not in self.cache:
+        text = text or ""
+        known = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+        if known not in self.cache:
             if len(self.cache) > 50_000:
                 self.cache.clear()
+            key = self.key(terms_of(text))
             near = self.neighbours(key)
             v = self.vote(near)
             score = 0.0 if math.isnan(v) else float(np.clip(np.interp(v, *self.steps), 0.0, 1.0))
             docs = [e[0] for _, i in near[:3] for e in self.examples[i]][:3]
-            self.cache[key] = score, docs, [self.words[t] for t, _ in key][:20]
-        return self.cache[key]
+            terms, weights = self.vector(key)
+            self.cache[known] = score, docs, [self.words[t] for t in terms[np.argsort(-weights, kind="stable")[:20]]]
+        return self.cache[known]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
@@ -208,22 +249,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     total = float(n0 + n1)
     both = F.col("c0") + F.col("c1")
     apart = F.col("c1") * F.lit(float(n0)) - F.col("c0") * F.lit(float(n1))
-    chi2 = apart * apart * total / (both * (F.lit(total) - both + 0.5) * float(n0) * float(n1))
-    chosen = counts.filter(both >= LEAST_DOCS).withColumn("x", chi2).filter(F.col("x") >= CHI2).orderBy(F.desc("x"), "w").limit(MAX_TERMS).collect()
+    # Chi-square over the number of examples: 0 to about 1, whatever their number.
+    phi2 = apart * apart / (both * (F.lit(total) - both + 0.5) * float(n0) * float(n1))
     # idf over the examples weighted back to all labelled rows.
     whole = n0 / share[0] + n1 / share[1]
-    terms = {r["w"]: math.log((1 + whole) / (1 + r["c0"] / share[0] + r["c1"] / share[1])) + 1e-3 for r in sorted(chosen, key=lambda r: r["w"])}
-    numbers = {w: i for i, w in enumerate(terms)}
+    idf = F.log((1 + whole) / (1 + F.col("c0") / share[0] + F.col("c1") / share[1])) + 1e-3
+    # The words of about 2 * MAX_EXAMPLES texts at most.
+    chosen = counts.select("w", (idf * (phi2 + LEAST_WEIGHT)).alias("x")).toArrow().sort_by("w")
+    terms = dict(zip(chosen.column(0).to_pylist(), chosen.column(1).to_pylist()))
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
 
     def vectors(batches):
+        numbers = shared.value
         for batch in batches:
-            found = [Counter([numbers[w] for w in terms_of(t) if w in numbers]) for t in batch.column(2).to_pylist()]
+            found = [Counter([numbers[w] for w in terms_of(t)]) for t in batch.column(2).to_pylist()]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], kind), pa.array([list(c.values()) for c in found], kind)], ["doc_id", "toxic", "term", "n"])
 
-    rows = examples.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "t").mapInArrow(vectors, "doc_id bigint, toxic int, term array<int>, n array<int>").collect()
+    rows = examples.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "t").mapInArrow(vectors, "doc_id bigint, toxic int, term array<int>, n array<int>").toArrow()
     weight = {y: 1.0 / share[y] for y in (0, 1)}
-    index = Index(terms, [(r[0], float(r[1]), weight[r[1]], dict(zip(r[2], r[3]))) for r in rows])
+    each = (r for batch in rows.to_batches(256) for r in zip(*[c.to_pylist() for c in batch.columns]))
+    index = Index(terms, ((doc, float(y), weight[y], dict(zip(t, n))) for doc, y, t, n in each))
+    shared.destroy()
     index.calibrate()
     return index
 

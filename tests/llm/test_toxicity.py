@@ -72,3 +72,21 @@ def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert tx.score(docs, tx.fit(docs, none)).collect()[0].score == 0.0
     assert tx.score(docs.limit(0), tx.fit(docs.limit(0), none)).collect() == []
+
+
+def test_rare_words_and_small_tables_count(spark):
+    # Each bad word is in fewer than 20 examples; the languages share none.
+    rng = random.Random(17)
+    plain = {"en": ["sun", "sea", "tree", "walks", "green"], "de": ["baum", "haus", "geht", "meer", "rot"]}
+    bad = {"en": ["vile", "rotten"], "de": ["mies", "faul"]}
+    rows = []
+    for i in range(160):
+        lang = "de" if i % 4 == 0 else "en"
+        out = [rng.choice(plain[lang]) for _ in range(rng.randrange(10, 30))]
+        rows.append((i, " ".join(out + [rng.choice(bad[lang])] * (i // 4 % 5 == 0)), int(i // 4 % 5 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    index = tx.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i < 120], "doc_id bigint, toxic int"))
+    assert set(index.words) == {w for i, t, _ in rows if i < 120 for w in t.split()}
+    found = {r.doc_id: r for r in tx.score(docs, index).collect()}
+    assert all((found[i].score >= 0.5) == bool(y) for i, _, y in rows)
+    assert found[100].terms[0] in bad["de"]
