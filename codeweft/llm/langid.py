@@ -17,8 +17,8 @@ than REJECT_MARGIN times the REJECT_QUANTILE of the calibration documents,
 allowing for its length, is rejected; so is a text without a letter.
 
 The models are fit on labelled documents up to SAMPLE_DOCS a language in
-expectation, chosen by a hash of doc_id, their whole texts; MAX_GRAMS bounds the
-n-grams that the driver holds (the most frequent ones stay).
+expectation, chosen by a hash of doc_id, their whole texts; all their n-grams are
+counted, so the sample alone bounds what the driver holds.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and
 rejected; without any labelled document all are; equal rows get equal results;
@@ -38,7 +38,6 @@ from .common import fold
 
 ORDER = 4
 SAMPLE_DOCS = 3000
-MAX_GRAMS = 1_000_000
 MAX_LANGUAGES = 500
 CALIBRATION = 5
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 3.0
@@ -263,7 +262,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     grams = sample.filter("NOT kept").select("lang", "t").mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
-    for r in grams.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).collect():
+    for r in grams.orderBy("lang", "gram").collect():
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     model = Model(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -99,3 +99,14 @@ def test_nothing_to_learn_from(spark):
     found = langid.identify(docs, langid.fit(docs)).collect()
     assert [(r.lang_pred, r.rejected) for r in found] == [("und", True)]
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).collect() == []
+
+
+def test_small_languages_keep_their_grams(spark, monkeypatch):
+    # No cut over all languages together: the small one's counts are all small.
+    monkeypatch.setattr(langid, "MAX_GRAMS", 100, raising=False)
+    rng = random.Random(19)
+    rows = [(i, " ".join(rng.choice(WORDS["en"]) for _ in range(60)), "en") for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.sample(WORDS["de"], 3)), "de") for i in range(12)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    assert model.predict(["schön und klein das wasser"])[0] == ["de"]
