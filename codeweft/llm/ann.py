@@ -104,6 +104,15 @@ class Graph:
             at, cos, open_ = np.concatenate((at, new)), np.concatenate((cos, self.centre[new] @ q)), np.concatenate((open_, np.ones(len(new), bool)))
         return at, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
 
+    def within(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As search, with a breadth that doubles until the last centroid found is beyond 1 + RATIO."""
+        breadth = BREADTH
+        while True:
+            at, distance = self.search(q, breadth)
+            if len(at) < breadth or distance[-1] > (1 + RATIO) * distance[0]:
+                return at, distance
+            breadth *= 2
+
 
 def lists_of(distance: np.ndarray) -> int:
     """Lists a query visits, of those at ascending distance."""
@@ -153,7 +162,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
             m = unit(m / np.abs(m).max(axis=1, keepdims=True))
             at, to = [], []
             for i, q in enumerate(m):
-                lists, distance = shared.value.search(q)
+                lists, distance = shared.value.within(q)
                 n = lists_of(distance)
                 at += [i] * n
                 to.append(lists[:n])

@@ -51,3 +51,14 @@ def test_few_and_none(spark):
     assert found == {(0, 1): 1, (0, 2): 50, (50, 1): 1, (50, 2): 0}
     assert ann.search(frame.limit(0), F.col("vec_id") == 0).collect() == []
     assert ann.search(frame.filter("vec_id = 0"), F.col("vec_id") == 0).collect() == []
+
+
+def test_all_lists_within_the_ratio_are_found():
+    rng = np.random.default_rng(18)
+    graph = ann.Graph(ann.unit(rng.normal(size=(1500, 32))))
+    most = 0
+    for q in ann.unit(rng.normal(size=(20, 32))):
+        far = np.sort(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (graph.centre @ q))))
+        most = max(most, ann.lists_of(far))
+        assert ann.lists_of(graph.within(q)[1]) >= 0.95 * ann.lists_of(far)
+    assert most > 2 * ann.BREADTH
