@@ -1,32 +1,29 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text's UTF-8 bytes are cut by a rolling hash (``gear``), so that a passage
-that several documents share falls into the same chunks wherever it stands.  A
-chunk is encoded the first time a worker sees it and its ids are kept; later
-documents copy them.  A cut falls anywhere, also within a word, so the ids at a
-join of two chunks may differ from those of the whole text.  A join is repaired
-by encoding anew the region between the last space before and the first space
-after the cut; where a chunk holds no space the region grows over the next cut.
-The vocabulary's normaliser and pre-tokeniser keep pieces on both sides of a
-space apart (no token, composition or special token holds a space), so that a
-region bounded by spaces agrees with the whole text exactly.
-
-What a chunk is made of - pieces between spaces - is kept too: text that no
-other document shares is looked up piece by piece and only unknown pieces go to
-the library, each once.
-
-Unknown pieces go to the library in one text with a special token between each
-two, which splits before anything else is done; pieces with a part of a special
-token in them go by themselves.
-
-Memory: a worker process keeps at most about PIECES pieces and CHUNK_BYTES of
-chunks over its tasks, then starts the table anew.  A chunk is kept from the second time on:
-of text that never comes again only 8 bytes a chunk are held, SEEN chunks at most.
-Batches are worked off in slices of SLICE_BYTES, one whole text at least.
+that several documents share falls into the same chunks wherever it stands.  The
+interior of a chunk, from its first to its last white space, is encoded the first
+time a worker meets the chunk and its ids are kept; later documents copy them.
+
+A cut falls anywhere, also within a word, so the joins of chunks are repaired: the
+region over a cut - what follows the last white space of one chunk and what comes
+before the first one of the next - is encoded anew together with a piece of either
+neighbour.  The join agrees when the region's ids begin with the ids of the left
+neighbour's piece and end with those of the right one's; what lies between is the
+join's own.  A chunk without white space has no interior and the region grows over
+it.  Where a join doesn't agree the region grows to the whole text, which is then
+encoded by the library at once, so that the ids always are the library's.  A
+vocabulary that gives white space ids of its own is refused.
+
+Memory: a worker process keeps at most about CHUNK_BYTES of chunks over its tasks,
+then starts the table anew.  A chunk is kept from the second time on: of text that
+never comes again only 8 bytes a chunk are held, SEEN chunks at most.  Batches are
+worked off in slices of SLICE_BYTES, one whole text at least.  The table is each
+worker's own: it changes the work done, never the result.
 
 Defined results: null is the empty text, with no ids; equal rows get equal
 results; the operator returns one row for each row with the ids and the decoded
-text.
+text; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -34,27 +31,41 @@ from __future__ import annotations
 import hashlib
 import os
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gear import cuts
 
-PIECES = 400_000
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 48_000_000
 SEEN = 500_000
 #: Bytes of text that become Python strings at one time.
-SLICE_BYTES = 500_000
-CHUNK_BITS, CHUNK_LEAST = 8, 64
-#: Pieces longer than this aren't kept.
-LONG_PIECE = 200
+SLICE_BYTES = 1_000_000
+CHUNK_BITS, CHUNK_LEAST = 9, 64
+#: Bytes that a kept chunk costs beside its ids, about.
+HELD = 600
 
 
 #: One for each vocabulary in a worker process, which runs many tasks.
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Chunk:
+    """What is kept of a chunk with an interior."""
+
+    __slots__ = ("head", "tail", "ids", "first", "last")
+
+    def __init__(self, head: str, tail: str, ids: bytes, first: tuple[str, bytes], last: tuple[str, bytes]):
+        #: Text before the first and after the last white space.
+        self.head, self.tail = head, tail
+        self.ids = ids
+        #: The interior's first and last piece with their ids: the context of a join.
+        self.first, self.last = first, last
+
+
 class Encoder:
     """Encodes whole texts; equal to the library on each of them."""
 
@@ -67,136 +78,133 @@ class Encoder:
         self.tok.no_padding()
         if self.tok.decoder is not None:
             raise ValueError("a vocabulary with a decoder of its own: tokens aren't joined by single spaces")
+        if any(self.raw([" ", "\n", " \n  "])):
+            raise ValueError("a vocabulary with ids for white space: chunks have no safe interior")
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.names = [self.tok.id_to_token(i) for i in range(size)]
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
-        special = [(i, x.content) for i, x in self.tok.get_added_tokens_decoder().items() if x.special and not x.lstrip and not x.rstrip]
-        self.stop, self.mark = special[-1] if special else (None, "")
-        self.odd = {x.content[:2] for x in self.tok.get_added_tokens_decoder().values()}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-        self.forget_pieces()
-        self.forget_chunks()
-
-    def forget_pieces(self) -> None:
-        #: piece -> (little-endian ids, decoded text)
-        # What was used since then moves on from the older table.
-        self.older = self.pieces
-        self.pieces = {"": (b"", "")}
-
-    def forget_chunks(self) -> None:
-        #: chunk -> (text up to its first space, ids and decoded text of what is between spaces, text after its last space); None: no space
-        self.chunks: dict[bytes, tuple[str, bytes, str, str] | None] = {}
-        self.seen: set[int] = set()
+        self.names = pa.array([self.tok.id_to_token(i) for i in range(size)], pa.string())
+        #: Joins that did not agree and were mended by the whole text.
+        self.mended = 0
+        self.forget()
+
+    def forget(self) -> None:
+        #: digest -> what is kept of the chunk; None: it has no interior
+        self.chunks: dict[bytes, Chunk | None] = {}
+        self.seen: set[bytes] = set()
         self.held = 0
 
-    def _encode(self, pieces: list[str]) -> list[tuple[bytes, str]]:
-        alone = self.stop is None or any(x in p for p in pieces for x in self.odd)
-        texts = pieces if alone else [self.mark.join(pieces)]
-        found: list[list[int]] = []
-        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
-            if alone:
-                found.append(e.ids)
-                continue
-            ids, last = e.ids, 0
-            for _ in range(len(pieces) - 1):
-                at = ids.index(self.stop, last)
-                found.append(ids[last:at])
-                last = at + 1
-            found.append(ids[last:])
-        names, packed = self.names, self.packed
-        return [(b"".join([packed[i] for i in ids]), " ".join([names[i] for i in ids])) for ids in found]
-
-    def _learn(self, pieces: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Encodes unknown pieces; returns the long ones, which aren't kept."""
-        odd = [p for p in pieces if any(x in p for x in self.odd)]
-        unknown = list(pieces.difference(odd))
-        extra = {}
-        for part in [odd, *[unknown[i : i + 2048] for i in range(0, len(unknown), 2048)]]:
-            if not part:
-                continue
-            for piece, found in zip(part, self._encode(part)):
-                (self.pieces if len(piece) <= LONG_PIECE else extra)[piece] = found
-        return extra
-
-    def batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        if len(self.pieces) > PIECES // 2:
-            self.forget_pieces()
-        if self.held > CHUNK_BYTES or len(self.seen) > SEEN:
-            self.forget_chunks()
-        known, older, chunks = self.pieces, self.older, self.chunks
-        plans, fresh, unknown = [], {}, set()
-
-        def need(piece: str) -> None:
-            if piece in older:
-                known[piece] = older[piece]
-            else:
-                unknown.add(piece)
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, as little-endian 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        for text in texts:
-            raw = (text or "").encode("utf-8")
-            plan, carry, last = [], "", 0
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text."""
+        if self.held > CHUNK_BYTES or len(self.seen) > SEEN:
+            self.forget()
+        whole = [t or "" for t in texts]
+        plans, fresh = [], {}
+        for text in whole:
+            raw = text.encode("utf-8")
+            plan, start = [], 0
             for end in cuts(raw, CHUNK_BITS, CHUNK_LEAST).tolist():
-                chunk = raw[last:end]
-                last = end
-                if chunk in chunks:
-                    parts = chunks[chunk]
-                elif chunk in fresh:
-                    parts = fresh[chunk]
-                else:
-                    words = chunk.decode("utf-8").replace("\n", " ").split(" ")
-                    parts = fresh[chunk] = (words[0], words[1:-1], words[-1]) if len(words) > 1 else None
-                    if parts:
-                        for w in parts[1]:
-                            if w not in known:
-                                need(w)
-                if parts is None:
-                    carry += chunk.decode("utf-8")
-                    continue
-                # The join: the piece over the cut, encoded as a whole.
-                region = carry + parts[0]
-                if region not in known:
-                    need(region)
-                plan += (region, chunk)
-                carry = parts[-1]
-            if carry not in known:
-                need(carry)
-            plan.append(carry)
+                part = raw[start:end]
+                start = end
+                key = xxhash.xxh3_128_digest(part)
+                if key not in self.chunks and key not in fresh:
+                    fresh[key] = part.decode("utf-8").replace("\n", " ")
+                plan.append((key, part))
             plans.append(plan)
-        extra = self._learn(unknown)
-
-        def of(piece: str) -> tuple[bytes, str]:
-            return known[piece] if piece in known else extra[piece]
+        known = self._learn(fresh)
+        regions: dict[str, int] = {}
+        drafts = [self._drafted(plan, known, regions) for plan in plans]
+        found = self.raw(list(regions))
+        out, again = [], []
+        for i, draft in enumerate(drafts):
+            ids = self._joined(draft, found)
+            if ids is None:
+                again.append(i)
+            out.append(ids or b"")
+        for i, ids in zip(again, self.raw([whole[i] for i in again])):
+            out[i] = ids
+        self.mended += len(again)
+        return out
 
-        for chunk, parts in fresh.items():
-            if parts:
-                found = [of(w) for w in parts[1]]
-                parts = (parts[0], b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), parts[2])
-                fresh[chunk] = parts
-            key = hash(chunk)
+    def _learn(self, fresh: dict[bytes, str]) -> dict[bytes, Chunk | None]:
+        """Encodes new chunks, each once, and keeps those met before."""
+        cut = {}
+        for key, text in fresh.items():
+            a, b = text.find(" "), text.rfind(" ")
+            inner = text[a + 1 : b].strip(" ") if b > a >= 0 else ""
+            if inner:
+                cut[key] = text[:a], inner, text[b + 1 :], inner.split(" ", 1)[0], inner.rsplit(" ", 1)[-1]
+        pieces = list({x for c in cut.values() for x in c[3:]})
+        of = dict(zip(pieces, self.raw(pieces)))
+        inner = dict(zip(cut, self.raw([c[1] for c in cut.values()])))
+        known: dict[bytes, Chunk | None] = {}
+        for key in fresh:
+            chunk = None
+            if key in cut:
+                head, _, tail, first, last = cut[key]
+                ids = inner[key]
+                # The context must agree with the chunk itself; else the chunk has no safe interior.
+                if ids.startswith(of[first]) and ids.endswith(of[last]):
+                    chunk = Chunk(head, tail, ids, (first, of[first]), (last, of[last]))
+            known[key] = chunk
             if key in self.seen:
-                chunks[chunk] = parts
-                self.held += len(chunk) * 5 + 300
+                self.chunks[key] = chunk
+                self.held += HELD + (len(chunk.ids) if chunk else 0)
             else:
                 self.seen.add(key)
-        out = []
-        for plan in plans:
-            ids, shown = [], []
-            for i, x in enumerate(plan):
-                if i % 2:
-                    found = chunks[x] if x in chunks else fresh[x]
-                    if found[1]:
-                        ids.append(found[1])
-                        shown.append(found[2])
-                elif (found := of(x))[0]:
-                    ids.append(found[0])
-                    shown.append(found[1])
-            out.append((b"".join(ids), " ".join(shown)))
-        return out
+        return known
+
+    def _drafted(self, plan: list[tuple[bytes, bytes]], known: dict[bytes, Chunk | None], regions: dict[str, int]) -> list:
+        """The chunks of a text and, between them, the joins: (number of the region's text, ids that it must begin and end with)."""
+        draft: list = []
+        left, carry = None, ""
+
+        def join(right: Chunk | None) -> None:
+            if not carry.strip(" "):
+                return
+            text = f"{left.last[0]} {carry}" if left else carry
+            text = f"{text} {right.first[0]}" if right else text
+            draft.append((regions.setdefault(text, len(regions)), left.last[1] if left else b"", right.first[1] if right else b""))
+
+        for key, part in plan:
+            chunk = known[key] if key in known else self.chunks[key]
+            if chunk is None:
+                carry += part.decode("utf-8").replace("\n", " ")
+                continue
+            carry += chunk.head
+            join(chunk)
+            draft.append(chunk)
+            left, carry = chunk, chunk.tail
+        join(None)
+        return draft
+
+    @staticmethod
+    def _joined(draft: list, found: list[bytes]) -> bytes | None:
+        """The ids of a text, or None where a join does not agree."""
+        parts = []
+        for x in draft:
+            if isinstance(x, Chunk):
+                parts.append(x.ids)
+                continue
+            number, begin, end = x
+            ids = found[number]
+            if len(ids) < len(begin) + len(end) or not ids.startswith(begin) or not ids.endswith(end):
+                return None
+            parts.append(ids[len(begin) : len(ids) - len(end)])
+        return b"".join(parts)
+
+    def decoded(self, ids: list[bytes]) -> pa.Array:
+        """The decoded text of each text's ids: names joined by single spaces."""
+        flat = pa.array(np.frombuffer(b"".join(ids), "<u4"))
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.names.take(flat)), " ")
 
 
-def batches_of(texts: pa.Array, most_bytes: int = SLICE_BYTES):
+def batches_of(texts: pa.Array, most_bytes: int | None = None):
     """Slices of an Arrow array of texts with so many bytes at most, one text at least."""
+    most_bytes = SLICE_BYTES if most_bytes is None else most_bytes
     start, held = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         held += n or 0
@@ -220,15 +228,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in batches_of(texts):
-                found = encoder.batch(texts.slice(a, b - a).to_pylist())
+                ids = encoder.batch(texts.slice(a, b - a).to_pylist())
+                decoded = encoder.decoded(ids)
                 key = keys.slice(a, b - a)
                 if digests:
                     yield pa.RecordBatch.from_arrays(
-                        [key, pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in found]), pa.array([hashlib.sha256(y.encode("utf-8")).hexdigest() for _, y in found])],
+                        [key, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(y.as_buffer()).hexdigest() for y in decoded])],
                         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
                 else:
-                    yield pa.RecordBatch.from_arrays([key, pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.string())], ["doc_id", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([key, pa.array(ids, pa.binary()), decoded], ["doc_id", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids binary, decoded string")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, fingerprints, langid, mixing, simhash, substring_dedup, token_counts, toxicity, url_filter
 from .common import fold, table, written
 
-#: Where public tokenizers lie; executors have them in the same place.
-TOKENIZERS = "/opt/tokenizers"
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: Public tokenizers; executors have them in the same place.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The pattern that goes with BYTE_BPE.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_REPEATS = 2.0
