@@ -162,7 +162,7 @@ class Encoder:
         left, carry = None, ""
 
         def join(right: Chunk | None) -> None:
-            if not carry.strip(" "):
+            if not carry.strip(" ") and not (left and right):
                 return
             text = f"{left.last[0]} {carry}" if left else carry
             text = f"{text} {right.first[0]}" if right else text
