@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import uniform, written
 
 SAMPLE = 20_000
 LIST_SIZE, MAX_LISTS = 256, 4096
@@ -129,8 +129,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
         return spark.createDataFrame([], schema)
     width, total = sizes[0]["d"], sizes[0]["count"]
     rows = rows.filter(F.size("v") == width)
-    million = 1_000_000
-    drawn = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(million)) < int(million * min(1.0, SAMPLE / total))).select("vec_id", "v").toPandas()
+    drawn = rows.filter(uniform(F.col("vec_id")) < min(1.0, SAMPLE / total)).select("vec_id", "v").toPandas()
     if not len(drawn):
         drawn = rows.limit(SAMPLE).select("vec_id", "v").toPandas()
     sample = np.stack(drawn.sort_values("vec_id")["v"].to_numpy())

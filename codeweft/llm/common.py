@@ -49,6 +49,11 @@ def dropped(df: DataFrame) -> None:
         hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def uniform(*keys: Column) -> Column:
+    """A number of [0, 1) by the hash of some columns: below ``share`` for that share of the rows, however small."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n (null: the empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

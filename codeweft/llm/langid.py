@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, uniform
 
 ORDER = 4
 SAMPLE_DOCS = 3000
@@ -237,16 +237,20 @@ def _slices(texts: list, most: int = 1_000_000):
         yield start, len(texts)
 
 
+def share_of(count: int, sample_docs: int) -> float:
+    """Share of a language's documents that teach: above 0 whatever their number."""
+    return min(1.0, sample_docs / count)
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the languages of ``docs`` (doc_id, text, lang); rows without lang or letters teach nothing."""
     rows = docs.filter("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("lang").cast("string").alias("lang"))
     sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    million = 1_000_000
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(million * min(1.0, sample_docs / r["count"])))) for r in sizes]) if sizes else F.lit(0)
-    drawn = F.pmod(F.xxhash64("id", F.length("t")), F.lit(million))
-    sample = rows.filter(drawn < share).select("lang", "t", (F.pmod(F.xxhash64(F.lit(3), "id", F.length("t")), F.lit(CALIBRATION)) == 0).alias("kept"))
+    shares = {r["lang"]: share_of(r["count"], sample_docs) for r in sizes}
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(x)) for lang, x in shares.items()]) if sizes else F.lit(0.0)
+    sample = rows.filter(uniform(F.col("id"), F.length("t")) < share).select("lang", "t", (F.pmod(F.xxhash64(F.lit(3), "id", F.length("t")), F.lit(CALIBRATION)) == 0).alias("kept"))
 
     def count(batches):
         held: dict[str, Counter] = {}

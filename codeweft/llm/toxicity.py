@@ -41,17 +41,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, uniform, written
 
-MAX_EXAMPLES = 8000
+MAX_EXAMPLES = 1500
 #: Added to a term's dependence on the label, so that no term vanishes.
 LEAST_WEIGHT = 1e-6
-BLOCK, NEAREST, GAP = 64, 25, 0.05
+BLOCK, NEAREST, GAP = 64, 12, 0.05
+#: Terms added up first; then four times as many, then all.
+FIRST = 12
 #: Entries that are scored whole at once, at most, unless all terms are added up.
-MANY = 200
+MANY = 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for sizes[0] numbers, then those of first[1], and so on."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def terms_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -120,6 +127,20 @@ class Index:
         number = self.number
         return tuple(sorted(Counter([number[w] for w in words if w in number]).items()))
 
+    def _added(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of the postings of some terms, by entry."""
+        first = self.post[terms]
+        sizes = self.post[terms + 1] - first
+        at = _ranges(first, sizes)
+        return np.bincount(self.entry[at], self.posted[at] * np.repeat(weights, sizes), len(self.all))
+
+    def _bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Most that some terms can add to an entry, by block."""
+        first = self.blocks[terms]
+        sizes = self.blocks[terms + 1] - first
+        at = _ranges(first, sizes)
+        return np.bincount(self.block[at], self.top[at] * np.repeat(weights, sizes), len(self.all) // BLOCK + 1)
+
     def nearest(self, key: tuple, k: int) -> list[tuple[float, int]]:
         """(cosine, entry) of the k nearest entries by falling cosine, ties with the last included; only those above 0."""
         terms, weights = self.vector(key)
@@ -128,37 +149,33 @@ class Index:
         terms, weights, bound = terms[by], weights[by], bound[by]
         rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
         sums = np.zeros(len(self.all))
-        at, step, least = 0, 4, 0.0
+        at, step = 0, FIRST
         while True:
-            for t, w in zip(terms[at : at + step].tolist(), weights[at : at + step].tolist()):
-                part = slice(self.post[t], self.post[t + 1])
-                sums[self.entry[part]] += self.posted[part] * w
+            sums += self._added(terms[at : at + step], weights[at : at + step])
             at = min(at + step, len(terms))
-            if at == len(terms):
-                near = np.flatnonzero(sums)
-                break
             # Sums only grow: the k-th largest now is a lower bound of the k-th cosine.
             least = float(np.partition(sums, -k)[-k]) if len(sums) > k else 0.0
+            if at == len(terms):
+                near = np.flatnonzero((sums > 0) & (sums >= least - 1e-9))
+                break
             if rest[at] < least:
                 near = np.flatnonzero(sums >= least - rest[at] - 1e-9)
                 if len(near) > MANY:
-                    left = [(self.blocks[t], self.blocks[t + 1], w) for t, w in zip(terms[at:].tolist(), weights[at:].tolist())]
-                    block = np.concatenate([self.block[a:b] for a, b, _ in left])
-                    more = np.bincount(block, np.concatenate([self.top[a:b] * w for a, b, w in left]), len(sums) // BLOCK + 1)
+                    more = self._bounds(terms[at:], weights[at:])
                     near = near[sums[near] + more[near // BLOCK] >= least - 1e-9]
                 if len(near) <= MANY:
                     break
-            step *= 2
+            step = len(terms) if step > FIRST else FIRST * 4
         if self.scratch is None:
             self.scratch = np.zeros(len(self.idf))
+        # Each by itself, in one order of terms, so that equal texts get equal cosines.
         q = self.scratch
         q[terms] = weights
-        found = []
-        for i in near.tolist():
-            part = slice(self.begin[i], self.begin[i + 1])
-            found.append((float(self.weight[part] @ q[self.term[part]]), i))
+        sizes = self.begin[near + 1] - self.begin[near]
+        place = _ranges(self.begin[near], sizes)
+        cosines = np.add.reduceat(self.weight[place] * q[self.term[place]], np.cumsum(sizes) - sizes) if len(near) else np.zeros(0)
         q[terms] = 0.0
-        found.sort(key=lambda x: (-x[0], x[1]))
+        found = sorted(zip(cosines.tolist(), near.tolist()), key=lambda x: (-x[0], x[1]))
         least = found[k - 1][0] if len(found) >= k else 0.0
         return [x for x in found if x[0] >= least - 1e-9]
 
@@ -221,11 +238,10 @@ class Index:
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """An index of labelled texts. docs: (doc_id, text); labels: (doc_id, toxic), only rows that may teach."""
-    million = 1_000_000
     known = written(labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity-labels")
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {y: min(1.0, max_examples / size[y]) if y in size else 1.0 for y in (0, 1)}
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.when(F.col("toxic") == 1, int(million * share[1])).otherwise(int(million * share[0])))
+    drawn = known.filter(uniform(F.col("doc_id")) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # At most about 2 * max_examples rows of two numbers.
     examples = written(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("t")).join(F.broadcast(drawn), "doc_id"), "toxicity-examples")
 

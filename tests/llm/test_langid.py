@@ -110,3 +110,12 @@ def test_small_languages_keep_their_grams(spark, monkeypatch):
     model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert model.languages == ["de", "en"]
     assert model.predict(["schön und klein das wasser"])[0] == ["de"]
+
+
+def test_a_language_of_any_size_is_learned(spark):
+    from codeweft.llm.common import uniform
+
+    share = langid.share_of(10**13, 3000)
+    assert 0 < share < 1e-9 and langid.share_of(10, 3000) == 1.0
+    found = spark.range(200_000).select(uniform("id").alias("u")).agg({"u": "max"}).collect()[0][0]
+    assert 0.9999 < found < 1

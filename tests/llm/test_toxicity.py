@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 from codeweft.llm import toxicity as tx
 
@@ -90,3 +92,72 @@ def test_rare_words_and_small_tables_count(spark):
     found = {r.doc_id: r for r in tx.score(docs, index).collect()}
     assert all((found[i].score >= 0.5) == bool(y) for i, _, y in rows)
     assert found[100].terms[0] in bad["de"]
+
+
+def brute(rows, labels, text_of):
+    """Scores of all rows by plain loops: weights, cosines, votes, pools of equal or falling votes."""
+    words = {i: Counter(re.findall(r"[^\W\d_]+", (text_of[i] or "").lower())) for i in text_of}
+    learn = [i for i in labels if i in text_of]
+    n1 = sum(labels[i] for i in learn)
+    n0 = len(learn) - n1
+    weight = {}
+    for w in sorted({w for i in learn for w in words[i]}):
+        c1 = sum(labels[i] for i in learn if w in words[i])
+        c0 = sum(1 - labels[i] for i in learn if w in words[i])
+        phi2 = (c1 * n0 - c0 * n1) ** 2 / ((c0 + c1) * (n0 + n1 - c0 - c1 + 0.5) * n0 * n1)
+        weight[w] = (math.log((1 + n0 + n1) / (1 + c0 + c1)) + 1e-3) * (phi2 + tx.LEAST_WEIGHT)
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in words[i].items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    entries = {}
+    for i in learn:
+        entries.setdefault(tuple(sorted((w, c) for w, c in words[i].items() if w in weight)), []).append(i)
+    vectors = {k: vector(v[0]) for k, v in entries.items()}
+
+    def vote(i, left_out=None):
+        mine = vector(i)
+        near = sorted(((sum(x * v.get(w, 0.0) for w, x in mine.items()), k) for k, v in vectors.items()), key=lambda x: -x[0])
+        near = [x for x in near if x[0] > 0] if mine else [(1.0, k) for k in vectors if not k]
+        if len(near) > tx.NEAREST:
+            near = [x for x in near if x[0] >= near[tx.NEAREST - 1][0] - 1e-9]
+        up = down = 0.0
+        for cos, k in near:
+            some = [labels[j] for j in entries[k]]
+            if left_out is not None and left_out in entries[k]:
+                some.remove(labels[left_out])
+            up += sum(some) / (tx.GAP + max(0.0, 1 - cos))
+            down += len(some) / (tx.GAP + max(0.0, 1 - cos))
+        return up / down if down else None
+
+    pools = []
+    for v, y in sorted((vote(i, i), labels[i]) for i in learn if vote(i, i) is not None):
+        pools.append([v, v, y, 1])
+        while len(pools) > 1 and (pools[-2][1] >= pools[-1][0] - 1e-12 or pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]):
+            b = pools.pop()
+            pools[-1] = [pools[-1][0], b[1], pools[-1][2] + b[2], pools[-1][3] + b[3]]
+
+    def step(v):
+        for k, (a, b, y, n) in enumerate(pools):
+            if v <= b or k + 1 == len(pools):
+                if v >= a or k == 0:
+                    return y / n
+                _, low, y0, m = pools[k - 1]
+                return y0 / m + (y / n - y0 / m) * (v - low) / (a - low)
+
+    return {i: 0.0 if vote(i) is None else step(vote(i)) for i in rows}
+
+
+def test_fit_and_scores_against_brute_force(spark):
+    rng = random.Random(23)
+    rows = [(i, text(rng, rng.choice([0, 1, 2]) if i % 4 == 0 else 0)) for i in range(150)] + [(150, ""), (151, None), (152, "zzz")]
+    labels = {i: int(i % 4 == 0) for i in range(0, 151) if i % 3}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = tx.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int"))
+    want = brute([i for i, _ in rows], labels, dict(rows))
+    found = {r.doc_id: r.score for r in tx.score(docs, index).collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[i] - want[i]) < 1e-6 for i in want), [(i, found[i], want[i]) for i in want if abs(found[i] - want[i]) >= 1e-6]
+    assert len({round(x, 6) for x in want.values()}) > 3
