@@ -15,8 +15,8 @@ it.  Where a join doesn't agree the region grows to the whole text, which is the
 encoded by the library at once, so that the ids always are the library's.  A
 vocabulary that gives white space ids of its own is refused.
 
-Memory: a worker process keeps at most about CHUNK_BYTES of chunks over its tasks,
-then starts the table anew.  A chunk is kept from the second time on: of text that
+Memory: a worker process keeps at most about CHUNK_BYTES of chunks and PIECES pieces
+with PIECE_IDS ids over its tasks, then starts the table anew.  A chunk is kept from the second time on: of text that
 never comes again only 8 bytes a chunk are held, SEEN chunks at most.  Batches are
 worked off in slices of SLICE_BYTES, one whole text at least.  The table is each
 worker's own: it changes the work done, never the result.
@@ -29,6 +29,7 @@ text; columns of other names are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -43,8 +44,19 @@ from .gear import cuts
 CHUNK_BYTES = 48_000_000
 SEEN = 500_000
 #: Bytes of text that become Python strings at one time.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 2_000_000
 CHUNK_BITS, CHUNK_LEAST = 9, 64
+PIECES, PIECE_IDS = 600_000, 6_000_000
+#: Normalisers and pre-tokenisers, as a vocabulary file tells them, under which no token, composition or case depends on what is
+#: beyond a space.
+APART = (
+    {"type": "NFC"},
+    {"type": "Lowercase"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    {"type": "WhitespaceSplit"},
+)
 #: Bytes that a kept chunk costs beside its ids, about.
 HELD = 600
 
@@ -82,9 +94,14 @@ class Encoder:
             raise ValueError("a vocabulary with ids for white space: chunks have no safe interior")
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names = pa.array([self.tok.id_to_token(i) for i in range(size)], pa.string())
+        told = json.loads(self.tok.to_str())
+        steps = [y for x in (told["normalizer"], told["pre_tokenizer"]) if x for y in x.get("normalizers", x.get("pretokenizers", [x]))]
+        reach = [x for x in told["added_tokens"] if x["lstrip"] or x["rstrip"] or " " in x["content"]]
+        self.apart = all(x in APART for x in steps) and bool(told["pre_tokenizer"]) and not reach
         #: Joins that did not agree and were mended by the whole text.
         self.mended = 0
         self.forget()
+        self.forget_pieces()
 
     def forget(self) -> None:
         #: digest -> what is kept of the chunk; None: it has no interior
@@ -92,6 +109,40 @@ class Encoder:
         self.seen: set[bytes] = set()
         self.held = 0
 
+    def forget_pieces(self) -> None:
+        #: piece -> its row; of each row the first id and their number
+        self.rows: dict[bytes, int] = {}
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def by_piece(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are put together from what is between their spaces."""
+        if len(self.rows) > PIECES or len(self.flat) > PIECE_IDS:
+            self.forget_pieces()
+        if not texts:
+            return []
+        data = (" ".join(texts) + " ").encode("utf-8")
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+        bounds = np.concatenate(([0], ends)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        kinds = pieces.dictionary.to_pylist()
+        rows = self.rows
+        fresh = [x for x in kinds if x not in rows]
+        if fresh:
+            found = self.raw([x.decode("utf-8") for x in fresh])
+            rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
+            size = np.array([len(x) // 4 for x in found], np.int64)
+            self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(found), "<u4")))
+        row = np.array([rows[x] for x in kinds], np.int64)[pieces.indices.to_numpy()]
+        size = self.size[row]
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(self.first[row] - (upto - size), size) + np.arange(int(upto[-1]))].tobytes()
+        last = np.cumsum([x.count(" ") + 1 for x in texts])
+        stop = (upto[last - 1] * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *stop[:-1]], stop)]
+
     def raw(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text, as little-endian 32-bit integers."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,7 +189,8 @@ class Encoder:
                 cut[key] = text[:a], inner, text[b + 1 :], inner.split(" ", 1)[0], inner.rsplit(" ", 1)[-1]
         pieces = list({x for c in cut.values() for x in c[3:]})
         of = dict(zip(pieces, self.raw(pieces)))
-        inner = dict(zip(cut, self.raw([c[1] for c in cut.values()])))
+        encode = self.by_piece if self.apart else self.raw
+        inner = dict(zip(cut, encode([c[1] for c in cut.values()])))
         known: dict[bytes, Chunk | None] = {}
         for key in fresh:
             chunk = None
