@@ -2,15 +2,17 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from codeweft.llm import fingerprints as fp
 
 
 def paragraphs(text):
-    return set(re.findall(r"[^\n]{120,}?[.!?](?=[ \t\x0b\f\r])|[^\n]+", text))
+    return set(re.findall(r"[^\n]+?[.!?](?=[ \t\x0b\f\r]+[A-HÀ-Î])|[^\n]+", text))
 
 
 def slow(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1]))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
     out = {}
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
@@ -57,3 +59,73 @@ def test_single_null_and_empty(docs):
     both = {r.doc_id: r for r in fp.fingerprints(docs([(None, "z", None, None, None), (2, "", None, None, None)])).collect()}
     assert both[2].near_next == 0.0 and both[None].near_next == 0.0 and both[2].fingerprint != both[None].fingerprint
     assert fp.fingerprints(docs([])).collect() == []
+
+
+def told(fingerprint):
+    """The digests that a printed fingerprint holds, by peeling each of its segments."""
+    n, at, out = int(fingerprint[:8], 16), 8, set()
+    while at < len(fingerprint):
+        third, size = int(fingerprint[at : at + 2], 16), int(fingerprint[at + 2 : at + 6], 16)
+        at += 6
+        cells = [[int(fingerprint[i : i + 4], 16), int(fingerprint[i + 4 : i + 12], 16), int(fingerprint[i + 12 : i + 28], 16)] for i in range(at, at + 28 * size, 28)]
+        at += 28 * size
+        if third == 0:
+            assert all(c == 1 for c, _, _ in cells)
+            out |= {k for _, _, k in cells}
+            continue
+        assert size == 3 * third
+        todo = True
+        while todo:
+            todo = False
+            for j, (c, x, k) in enumerate(cells):
+                signed = k - 2**64 if k >= 2**63 else k
+                spots = [(signed >> 21 * i) % third + third * i for i in range(3)]
+                if c == 1 and j in spots:
+                    todo = True
+                    out.add(k)
+                    for p in spots:
+                        cells[p][0] -= 1
+                        cells[p][1] ^= x
+                        cells[p][2] ^= k
+        assert all(z == [0, 0, 0] for z in cells)
+    assert len(out) == n
+    return out
+
+
+def test_likeness_comes_from_the_printed_fingerprints(docs):
+    rng = random.Random(31)
+    rows = [(i, t) for i, t in sample(rng, 60)]
+    rows += [(10_000 + i, t + " And More. " + t[: len(t) // 3]) for i, t in sample(rng, 8)]
+    found = fp.fingerprints(docs([(i, t, None, None, None) for i, t in rows])).orderBy("doc_id", ascending=False).collect()
+    sets = [told(r.fingerprint) for r in found]
+    for k, r in enumerate(found):
+        for near, other in ((r.near_edited, told(r.edited_fingerprint)), (r.near_next, sets[(k + 1) % len(found)])):
+            held = len(sets[k]) + len(other)
+            assert abs(near - (1 - len(sets[k] ^ other) / held if held else 1.0)) < 1e-9
+    assert max(map(len, sets)) > 64
+
+
+def test_rows_without_an_id_follow_by_text(docs, monkeypatch):
+    monkeypatch.setattr(fp, "QUANTILES", 4)
+    monkeypatch.setattr(fp, "BUCKET_DOCS", 1)
+    monkeypatch.setattr(fp, "CHAIN", 2)
+    texts = ["e", "a", "longer text", "longer texts", "É", "c", "", "b", "d", "longer"]
+    rows = [(None, t) for t in texts] + [(5, "five"), (9, "nine")]
+    found = fp.fingerprints(docs([(i, t, None, None, None) for i, t in rows])).collect()
+    want = slow(rows)
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found) == sorted((str(i), n, sha) for (i, _), ws in want.items() for n, sha, _, _ in ws)
+
+
+def test_segments_that_fail_are_tried_larger(spark):
+    rows = spark.createDataFrame([([i * 2**42 for i in range(1, 9)],), ([5, 5 + 2**63 - 2**42],), ([],)], "ds array<bigint>")
+    s = rows.select(fp.sketch(F.array_sort("ds")).alias("s"), "ds").select("s", "ds", fp.printed(F.col("s")).alias("p")).collect()
+    assert [told(r.p) for r in s] == [{x % 2**64 for x in r.ds} for r in s]
+    assert {x.third for x in s[0].s.segments} != {fp.THIRDS[0]}
+
+
+def test_differences_carry_their_side(spark):
+    a, b = list(range(0, 9000, 7)), list(range(70, 9100, 7))
+    row = spark.createDataFrame([(a, b), (a, b[:3]), (a[:10], b)], "a array<bigint>, b array<bigint>")
+    made = row.select("a", "b", fp.sketch(F.col("a")).alias("x"), fp.sketch(F.col("b")).alias("y"))
+    for r in made.select("a", "b", fp.differences(F.col("x"), F.col("y")).alias("d")).collect():
+        assert set(r.d.a) == set(r.a) - set(r.b) and set(r.d.b) == set(r.b) - set(r.a)
