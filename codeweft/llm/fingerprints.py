@@ -47,7 +47,7 @@ BUCKET_DOCS = 256
 QUANTILES = 256
 #: Ranges for each of which one row goes through a window in one task.
 CHAIN = 1024
-CUT_BEFORE = "A-HÀ-Î"
+CUT_BEFORE = "A-D"
 PIECE = rf"[^\n]+?[.!?](?=[ \t\x0b\f\r]+[{CUT_BEFORE}])|[^\n]+"
 
 
@@ -140,11 +140,15 @@ def _segment(ds: Column) -> Column:
 def sketch(ds: Column) -> Column:
     """(n, segments) of a sorted set of digests."""
 
-    def of(k: Column) -> Column:
-        return F.transform(_dealt(ds, F.pow(F.lit(2), F.ceil(k / 2)).cast("int"), F.pow(F.lit(2), F.floor(k / 2)).cast("int")), _segment)
+    def power(x: Column) -> Column:
+        return F.pow(F.lit(2.0), x).cast("int")
 
-    k = F.greatest(F.lit(0), F.ceil(F.log2(F.size(ds).cast("double") / SEGMENT))).cast("int")
-    return F.struct(F.size(ds).alias("n"), _let(F.coalesce(k, F.lit(0)), of).alias("segments"))
+    def of(ds: Column) -> Column:
+        k = F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.lit(1), F.size(ds)).cast("double") / SEGMENT)).cast("double"))
+        dealt = _let(k, lambda k: _dealt(ds, power(F.ceil(k / 2)), power(F.floor(k / 2))))
+        return F.struct(F.size(ds).alias("n"), F.transform(dealt, _segment).alias("segments"))
+
+    return _let(ds, of)
 
 
 def printed(s: Column) -> Column:

@@ -8,7 +8,7 @@ from codeweft.llm import fingerprints as fp
 
 
 def paragraphs(text):
-    return set(re.findall(r"[^\n]+?[.!?](?=[ \t\x0b\f\r]+[A-HÀ-Î])|[^\n]+", text))
+    return set(re.findall(r"[^\n]+?[.!?](?=[ \t\x0b\f\r]+[A-D])|[^\n]+", text))
 
 
 def slow(rows):
