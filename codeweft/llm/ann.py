@@ -5,9 +5,13 @@ by k-means with a price on full clusters so that lists come out balanced.  Every
 vector goes to the list of its nearest centroid and, near a boundary, to others
 whose distance is at most 1 + SPREAD times the nearest, REPLICAS lists at most.
 The centroids are searched by a graph held in memory: links to the nearest
-centroids, walked best first from a few entries.  A query visits the lists whose
-centroid is within 1 + RATIO times the nearest centroid's distance, at least
-LEAST_LISTS of them.
+centroids, walked best first from a few entries, ever wider until the distance
+ratio is met.  A query visits the lists whose centroid is within 1 + ratio times
+the nearest centroid's distance, at least LEAST_LISTS of them.  The ratio is chosen
+on the sample: the least one with which a share TARGET of the true neighbours of
+CHECKED sample vectors (by brute force over the sample) are in a list visited.  The
+whole table is denser than the sample, so its neighbours are nearer and found more
+often.
 
 Lists are cut into parts of about PART vectors, so a vector that is very common
 fills many tasks and not one; each part gives its own nearest for a query, by
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import uniform, written
 
-SAMPLE = 20_000
-LIST_SIZE, MAX_LISTS = 256, 4096
+#: Sample vectors; at MAX_LISTS there are 20 for each centroid.
+SAMPLE = 40_000
+LIST_SIZE, MAX_LISTS = 256, 2000
 REPLICAS, SPREAD = 4, 0.10
-LEAST_LISTS, RATIO = 16, 0.30
+LEAST_LISTS, TARGET, CHECKED = 8, 0.93, 500
 PART = 2048
 DEGREE, BREADTH = 24, 96
 
@@ -43,10 +48,50 @@ def usable(x: Column) -> Column:
     return x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(x, lambda v: v != 0)
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; cosines stay what they are."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def distances(cos: np.ndarray) -> np.ndarray:
+    """Between unit vectors, from their cosines."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
+
+
+def lists_near(m: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): the lists of some unit vectors, with boundary replicas."""
+    far = distances(m @ centre.T)
+    few = min(REPLICAS, far.shape[1])
+    near = np.argpartition(far, few - 1, axis=1)[:, :few]
+    d = np.take_along_axis(far, near, 1)
+    r, c = np.nonzero(d <= (1 + SPREAD) * d.min(1, keepdims=True))
+    return r, near[r, c]
+
+
+def least_ratio(sample: np.ndarray, centre: np.ndarray, k: int) -> float:
+    """The ratio with which lists visited hold a share TARGET of the k nearest of some sample vectors."""
+    held = np.full((len(sample), REPLICAS), -1)
+    for i in range(0, len(sample), 2048):
+        r, c = lists_near(sample[i : i + 2048], centre)
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        held[r + i, np.arange(len(r)) - first[r]] = c
+    need = []
+    for i in np.linspace(0, len(sample) - 1, min(CHECKED, len(sample))).astype(np.int64).tolist():
+        cos = sample @ sample[i]
+        cos[i] = -np.inf
+        near = np.argsort(-cos, kind="stable")[: min(k, len(sample) - 1)]
+        far = distances(centre @ sample[i])
+        lists = held[near]
+        need.append(np.where(lists >= 0, far[lists], np.inf).min(1) / max(far.min(), 1e-12))
+    need = np.concatenate(need) if need else np.zeros(0)
+    return float(np.quantile(need, TARGET)) - 1.0 + 1e-9 if len(need) else 0.0
+
+
 def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """k unit centroids of unit vectors; a cluster's price rises with its surplus over the mean size."""
     rng = np.random.default_rng(seed)
@@ -69,8 +114,8 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int =
 class Graph:
     """Centroids with links to near ones, searched best first."""
 
-    def __init__(self, centre: np.ndarray):
-        self.centre = centre
+    def __init__(self, centre: np.ndarray, ratio: float):
+        self.centre, self.ratio = centre, ratio
         k = len(centre)
         near = np.argsort(-(centre @ centre.T), axis=1, kind="stable")[:, 1 : DEGREE + 1]
         links = [set(row.tolist()) for row in near]
@@ -102,21 +147,27 @@ class Graph:
             new = new[~seen[new]]
             seen[new] = True
             at, cos, open_ = np.concatenate((at, new)), np.concatenate((cos, self.centre[new] @ q)), np.concatenate((open_, np.ones(len(new), bool)))
-        return at, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
+        return at, distances(cos)
 
     def within(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As search, with a breadth that doubles until the last centroid found is beyond 1 + RATIO."""
+        """As search, with a breadth that doubles until the last centroid found is beyond 1 + ratio."""
         breadth = BREADTH
         while True:
             at, distance = self.search(q, breadth)
-            if len(at) < breadth or distance[-1] > (1 + RATIO) * distance[0]:
+            if len(at) < breadth or distance[-1] > (1 + self.ratio) * distance[0]:
                 return at, distance
             breadth *= 2
 
 
-def lists_of(distance: np.ndarray) -> int:
+def lists_of(distance: np.ndarray, ratio: float) -> int:
     """Lists a query visits, of those at ascending distance."""
-    return max(min(LEAST_LISTS, len(distance)), int((distance <= (1 + RATIO) * distance[0]).sum()))
+    return max(min(LEAST_LISTS, len(distance)), int((distance <= (1 + ratio) * distance[0]).sum()))
+
+
+def built(sample: np.ndarray, total: int, k: int) -> Graph:
+    """Centroids for ``total`` vectors from a sample of distinct unit vectors, and the ratio for the k nearest."""
+    centre = balanced_centroids(sample, int(max(1, min(MAX_LISTS, total // LIST_SIZE, len(sample)))))
+    return Graph(centre, least_ratio(sample, centre, k))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -133,36 +184,27 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     if not len(drawn):
         drawn = rows.limit(SAMPLE).select("vec_id", "v").toPandas()
     sample = np.stack(drawn.sort_values("vec_id")["v"].to_numpy())
-    sample = np.unique(unit(sample / np.abs(sample).max(axis=1, keepdims=True)), axis=0)
-    n_lists = int(max(1, min(MAX_LISTS, total // LIST_SIZE, len(sample))))
-    shared = spark.sparkContext.broadcast(Graph(balanced_centroids(sample, n_lists)))
+    shared = spark.sparkContext.broadcast(built(np.unique(unit(sample), axis=0), total, k))
 
     def placed(frames):
         """Lists of each vector, with boundary replicas."""
         centre = shared.value.centre
         for pdf in frames:
-            m = np.stack(pdf["v"].to_numpy())
-            m = unit(m / np.abs(m).max(axis=1, keepdims=True))
+            m = unit(np.stack(pdf["v"].to_numpy()))
             out_row, out_list = [], []
             for i in range(0, len(m), 2048):
-                far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (m[i : i + 2048] @ centre.T)))
-                few = min(REPLICAS, far.shape[1])
-                near = np.argpartition(far, few - 1, axis=1)[:, :few]
-                d = np.take_along_axis(far, near, 1)
-                r, c = np.nonzero(d <= (1 + SPREAD) * d.min(1, keepdims=True))
+                r, c = lists_near(m[i : i + 2048], centre)
                 out_row.append(r + i)
-                out_list.append(near[r, c])
+                out_list.append(c)
             r = np.concatenate(out_row)
             yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[r], "v": pdf["v"].to_numpy()[r], "list": np.concatenate(out_list).astype(np.int32)})
 
     def probes(frames):
         for pdf in frames:
-            m = np.stack(pdf["v"].to_numpy())
-            m = unit(m / np.abs(m).max(axis=1, keepdims=True))
             at, to = [], []
-            for i, q in enumerate(m):
+            for i, q in enumerate(unit(np.stack(pdf["v"].to_numpy()))):
                 lists, distance = shared.value.within(q)
-                n = lists_of(distance)
+                n = lists_of(distance, shared.value.ratio)
                 at += [i] * n
                 to.append(lists[:n])
             yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "list": np.concatenate(to).astype(np.int32)})
@@ -180,11 +222,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
         if not len(lists) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         lists = lists.sort_values("vec_id", ignore_index=True)
-        ids, m = lists["vec_id"].to_numpy(), np.stack(lists["v"].to_numpy())
+        ids, m = lists["vec_id"].to_numpy(), scaled(np.stack(lists["v"].to_numpy()))
         size = np.linalg.norm(m, axis=1)
         q_ids, out = asks["query_id"].to_numpy(), []
         for i in range(0, len(asks), 512):
-            q = np.stack(asks["q"].to_numpy()[i : i + 512])
+            q = scaled(np.stack(asks["q"].to_numpy()[i : i + 512]))
             cos = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * size[None, :])
             for j in range(len(q)):
                 c = np.where(ids == q_ids[i + j], -np.inf, cos[j])

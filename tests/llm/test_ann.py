@@ -13,7 +13,8 @@ def slow(ids, m, queries, k=5):
     return out
 
 
-def test_recall_and_exact_scores(spark):
+def test_recall_and_exact_scores(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 32)
     rng = np.random.default_rng(15)
     m = rng.normal(size=(1500, 16)).astype(np.float32).astype(float)
     m[200:900] = m[200]
@@ -36,7 +37,7 @@ def test_recall_and_exact_scores(spark):
 
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(16)
-    graph = ann.Graph(ann.unit(rng.normal(size=(800, 16))))
+    graph = ann.Graph(ann.unit(rng.normal(size=(800, 16))), 0.3)
     hits = 0
     for q in ann.unit(rng.normal(size=(50, 16))):
         at, distance = graph.search(q)
@@ -55,10 +56,42 @@ def test_few_and_none(spark):
 
 def test_all_lists_within_the_ratio_are_found():
     rng = np.random.default_rng(18)
-    graph = ann.Graph(ann.unit(rng.normal(size=(1500, 32))))
+    graph = ann.Graph(ann.unit(rng.normal(size=(1500, 32))), 0.3)
     most = 0
     for q in ann.unit(rng.normal(size=(20, 32))):
         far = np.sort(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (graph.centre @ q))))
-        most = max(most, ann.lists_of(far))
-        assert ann.lists_of(graph.within(q)[1]) >= 0.95 * ann.lists_of(far)
+        most = max(most, ann.lists_of(far, graph.ratio))
+        assert ann.lists_of(graph.within(q)[1], graph.ratio) >= 0.95 * ann.lists_of(far, graph.ratio)
     assert most > 2 * ann.BREADTH
+
+
+def test_recall_where_lists_are_pruned():
+    # Vectors without clusters: the hardest case. The sample is a third of them.
+    rng = np.random.default_rng(19)
+    m = ann.unit(rng.normal(size=(24_000, 24)))
+    graph = ann.built(m[:8000], len(m), 5)
+    lists = [[] for _ in graph.centre]
+    for i in range(0, len(m), 2048):
+        for r, c in zip(*ann.lists_near(m[i : i + 2048], graph.centre)):
+            lists[c].append(r + i)
+    hits = visited = 0
+    for i in range(0, len(m), 240):
+        at, distance = graph.within(m[i])
+        at = at[: ann.lists_of(distance, graph.ratio)]
+        visited += len(at)
+        cos = m @ m[i]
+        cos[i] = -2
+        held = {x for c in at for x in lists[c]}
+        hits += sum(x in held for x in np.argsort(-cos)[:5].tolist())
+    assert hits / 500 >= 0.9 and visited / 100 < 0.5 * len(graph.centre)
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(20)
+    m = rng.normal(size=(60, 8))
+    size = np.array([1e300, 1e-300, 1.0])[np.arange(60) % 3]
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(m, size))]
+    found = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = slow(list(range(60)), m, [0, 50])
+    assert {(r.query_id, r.rank): r.vec_id for r in found} == {(q, k + 1): i for q, x in want.items() for k, (i, _) in enumerate(x)}
+    assert all(abs(r.score - dict(want[r.query_id])[r.vec_id]) < 1e-9 for r in found)
