@@ -18,9 +18,11 @@ give the output block, so that each output block holds the sources in their
 weights.
 
 The plan is DataFrame operations throughout.  The table of sources has one row
-each and is refused beyond MAX_SOURCES, so it can be broadcast.
+each; up to MAX_SOURCES it is broadcast, beyond them it is joined by a shuffle.  Its
+token sums make one array for the bisection: 8 bytes a source.
 
-Defined results: null is a source of its own; documents without tokens are taken
+Defined results: block and order come from a hash of the whole row, so that the
+result does not depend on how the table is partitioned; null is a source of its own; documents without tokens are taken
 once and use no quota; equal rows are taken each for itself; an empty table
 gives an empty result; columns named mix_* in the input are replaced.
 """
@@ -67,11 +69,12 @@ def _repeats(ps: Column, a: Column, budget: Column | None) -> Column:
 
 
 def source_weights(totals: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> DataFrame:
-    """(source, tokens, docs, exponent, weight, quota) for (source, tokens, docs), one row for each source."""
+    """(source, tokens, docs, exponent, met, weight, quota) for (source, tokens, docs), one row for each source.
+
+    met: whether the target is met; an entropy below what HIGHEST gives is not, and HIGHEST is taken.
+    """
     if (entropy is None) == (max_repeats is None):
         raise ValueError("one target: an entropy or a repetition limit")
-    if len(totals.limit(MAX_SOURCES + 1).collect()) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     row = totals.agg(F.collect_list(F.struct("source", "tokens", "docs")).alias("all"), F.sum("tokens").alias("sum")).withColumn(
         "ps", F.transform(F.filter("all", lambda x: x["tokens"] > 0), lambda x: x["tokens"].cast("double") / F.col("sum"))
     )
@@ -90,7 +93,8 @@ def source_weights(totals: DataFrame, entropy: float | None = None, max_repeats:
     found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(top).alias("hi")), halve)["hi"]
     row = row.withColumn("exponent", F.when(F.size("ps") == 0, 1.0).when(too_high(F.lit(0.0)), found).otherwise(0.0))
     row = row.withColumn("z", _total(_powers(F.col("ps"), F.col("exponent"))))
-    each = row.select("exponent", "sum", "z", "ps", F.explode("all").alias("s")).select("s.source", "s.tokens", "s.docs", "exponent", "sum", "z", "ps")
+    row = row.withColumn("met", (F.size("ps") == 0) | ~too_high(F.col("exponent")))
+    each = row.select("exponent", "met", "sum", "z", "ps", F.explode("all").alias("s")).select("s.source", "s.tokens", "s.docs", "exponent", "met", "sum", "z", "ps")
     share = F.col("tokens").cast("double") / F.col("sum")
     each = each.withColumn("weight", F.when(F.col("tokens") > 0, F.pow(share, F.col("exponent")) / F.col("z")).otherwise(0.0))
     if budget is None:
@@ -100,22 +104,26 @@ def source_weights(totals: DataFrame, entropy: float | None = None, max_repeats:
     quota = F.round(F.col("weight") * scale).cast("bigint")
     if max_repeats is not None:
         quota = F.least(quota, F.round(F.col("tokens") * F.lit(float(max_repeats))).cast("bigint"))
-    return each.select("source", "tokens", "docs", "exponent", "weight", quota.alias("quota"))
+    return each.select("source", "tokens", "docs", "exponent", "met", "weight", quota.alias("quota"))
 
 
 def mix(docs: DataFrame, tokens: Column, entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs' columns and mix_copy (from 1), mix_block (output block), mix_order (order within it): a row for each copy."""
     names = [c for c in docs.columns if c not in ADDED]
-    who = F.xxhash64(F.lit(seed), F.col("w.id"), F.col("w.n"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), tokens.alias("n"))
-    slim = written(rows.select("id", "src", "n"), "mix")
+    # Of the whole row, nulls told apart from what follows them: rows that tie on it are equal.
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in names and "map<" not in f.dataType.simpleString()]
+    row_key = F.xxhash64(F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in plain]), *plain)
+    who = F.xxhash64(F.lit(seed), F.col("w.id"), F.col("w.n"), F.col("w.row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), tokens.alias("n"), row_key.alias("row"))
+    slim = written(rows.select("id", "src", "n", "row"), "mix")
     totals = written(slim.groupBy("src").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).withColumnRenamed("src", "source"), "mix-totals")
     weights = written(source_weights(totals, entropy, max_repeats, budget), "mix-weights")
+    near = F.broadcast(weights) if weights.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else weights
     blocks = F.greatest(F.lit(1), F.ceil(F.col("q.docs") / BLOCK_DOCS))
 
     def placed(x: DataFrame) -> DataFrame:
         """With the source's figures, the block and the order within it."""
-        both = x.alias("w").join(F.broadcast(weights).alias("q"), F.col("w.src").eqNullSafe(F.col("q.source")))
+        both = x.alias("w").join(near.alias("q"), F.col("w.src").eqNullSafe(F.col("q.source")))
         return both.select("w.*", "q.tokens", "q.quota", F.col("q.source").isNull().alias("nul"), F.coalesce("q.source", F.lit("")).alias("key"), F.pmod(who, blocks).alias("block"), F.xxhash64(F.lit(seed + 1), who).alias("rank"))
 
     sums = placed(slim).groupBy("nul", "key", "block").agg(F.sum("n").alias("held")).withColumn("group", F.expr(f"block DIV {GROUP_BLOCKS}"))
@@ -127,7 +135,7 @@ def mix(docs: DataFrame, tokens: Column, entropy: float | None = None, max_repea
     within = Window.partitionBy("nul", "key", "group").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("more", F.coalesce(F.sum("held").over(within), F.lit(0))).join(groups, ["nul", "key", "group"])
     offsets = offsets.select("nul", "key", "block", (F.col("first") + F.col("more")).alias("offset"))
-    inside = Window.partitionBy("nul", "key", "block").orderBy("rank", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("nul", "key", "block").orderBy("rank", "id", "n", "row").rowsBetween(Window.unboundedPreceding, 0)
     at = placed(rows).withColumn("upto", F.sum("n").over(inside)).join(offsets, ["nul", "key", "block"])
     at = at.withColumn("upto", F.col("upto") + F.col("offset"))
     full = F.expr("CASE WHEN tokens > 0 THEN quota DIV tokens ELSE 0 END")

@@ -82,3 +82,19 @@ def test_errors_and_empty(docs, spark):
     with pytest.raises(ValueError):
         weights_of(spark, {"a": 1})
     assert mixing.mix(docs([]), mixing.words(F.col("text")), max_repeats=2.0).collect() == []
+
+
+def test_rows_that_tie_do_not_depend_on_partitioning(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    rows = [(1, f"w{i} x", None, s, 1) for s in ("a", "a", "b", "c") for i in range(40)] + [(None, "a b c", None, None, None)] * 30 + [(None, f"n{i}", "en", None, None) for i in range(30)]
+    frame = docs(rows)
+    results = []
+    for way in (frame.repartition(1), frame.repartition(4, "text"), frame.orderBy(F.desc("text"))):
+        results.append(sorted(map(str, mixing.mix(way, F.lit(2), max_repeats=1.5).collect())))
+        results.append(sorted(map(str, mixing.mix(way, F.lit(2), entropy=1.0, budget=150).collect())))
+    assert results[0] == results[2] == results[4] and results[1] == results[3] == results[5] and results[0] != results[1]
+
+
+def test_a_target_out_of_reach_is_told(spark):
+    assert {r.met for r in weights_of(spark, {"a": 100, "b": 100}, entropy=0.1, budget=10).values()} == {False}
+    assert {r.met for r in weights_of(spark, {"a": 100, "b": 10}, entropy=0.1, budget=10).values()} == {True}
