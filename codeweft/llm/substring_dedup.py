@@ -11,7 +11,8 @@ documents share.
 
 The table of chunks holds digests and positions, no text.  Digests are counted
 with partial sums, so a line that a third of the documents holds is one row for
-each task; places then join the repeated digests only.
+each task; places then join the repeated digests only, and the places of a digest
+that very many hold are dealt to several tasks.
 
 Defined results: null and empty texts have no chunk; rows with equal doc_id and
 text are one document with one result; a null doc_id comes after all others;
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salted_join, written
 from .gear import cuts
 
 CHUNK_BITS, CHUNK_LEAST, REACH = 5, 16, 24
@@ -108,10 +109,12 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, id_col: str = "doc_
     id is LAST where doc_id is null.
     """
     table = written(chunks(docs, id_col, text_col), "chunks")
-    twice = table.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
-    shared = written(table.join(twice, ["k1", "k2"]), "chunks-shared")
-    first = shared.groupBy("k1", "k2").agg(F.min(F.struct("id", "t", "pos")).alias("first"))
-    again = shared.join(first, ["k1", "k2"]).filter(F.struct("id", "t", "pos") != F.col("first")).select("id", "t", "pos", "len")
+    # The digests that repeat: read twice by each join, once for those in very many places.
+    twice = written(table.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "chunks-repeated")
+    total = table.count()
+    shared = written(salted_join(table, twice, ["k1", "k2"], total), "chunks-shared")
+    first = shared.groupBy("k1", "k2").agg(F.min(F.struct("id", "t", "pos")).alias("first"), F.count("*").alias("n"))
+    again = salted_join(shared, written(first, "chunks-first"), ["k1", "k2"], total).filter(F.struct("id", "t", "pos") != F.col("first")).select("id", "t", "pos", "len")
     lists = again.groupBy("id", "t").agg(F.collect_set(F.struct("pos", "len")).alias("places"))
 
     def run(batches):
