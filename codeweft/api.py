@@ -18,6 +18,7 @@ class CodeFrame:
 
     def __init__(self, rows: DataFrame):
         self.files = rows
+        self._held: dict[str, DataFrame] = {}
 
     @classmethod
     def scan(cls, spark: SparkSession, app_dirs: Iterable[str], import_dirs: Iterable[str] = (), exclude: Iterable[str] = (), include_imports: bool = False, languages: Iterable[str] = tuple(LANGUAGES)) -> CodeFrame:
@@ -27,37 +28,62 @@ class CodeFrame:
     def from_dataframe(cls, df: DataFrame, **names) -> CodeFrame:
         return cls(files.from_dataframe(df, **names))
 
+    def prepared(self, *kinds: str, mode: str = "failfast") -> CodeFrame:
+        """The same files with the tables of some kinds (``parse.KINDS``) read off one parse; the methods below then use them."""
+        out = CodeFrame(self.files)
+        out._held = {**self._held, **parse.together(self.files, kinds, mode)}
+        return out
+
+    def table(self, kind: str) -> DataFrame:
+        held = self._held.get(kind)
+        return held if held is not None else parse.table(self.files, kind)
+
     def cst(self) -> DataFrame:
-        return parse.cst(self.files)
+        return self.table("cst")
+
+    def query(self, *patterns: str) -> DataFrame:
+        return parse.query(self.files, patterns)
+
+    def walk(self, visitor: parse.Visitor) -> DataFrame:
+        return parse.walk(self.files, visitor)
 
     def imports(self) -> DataFrame:
-        return parse.imports(self.files)
+        return self.table("imports")
 
     def functions(self) -> DataFrame:
-        return parse.functions(self.files)
+        return self.table("functions")
 
     def classes(self) -> DataFrame:
-        return parse.classes(self.files)
+        return self.table("classes")
 
     def inheritance(self) -> InheritanceFrame:
-        return InheritanceFrame(parse.inheritance(self.files).withColumnRenamed("path", "file"))
+        return InheritanceFrame(self.table("inheritance").withColumnRenamed("path", "file"))
 
     def usage(self) -> DataFrame:
-        return depsusage.usage_evidence(self.files)
+        return depsusage.hinted(self.table("evidence"))
 
     def strip_comments(self) -> DataFrame:
-        return parse.strip_comments(self.files)
+        held = self._held.get("strip_comments")
+        return held if held is not None else parse.strip_comments(self.files)
 
     def call_graph(self) -> DataFrame:
-        return parse.call_edges(self.files)
+        return self.table("call_edges")
 
     def assignments(self) -> DataFrame:
-        return parse.assign_edges(self.files)
+        return self.table("assign_edges")
+
+    def truncated(self) -> DataFrame:
+        """Files whose call graph or traversal was cut off."""
+        return self.table("limits").filter("calls_truncated OR items_truncated")
+
+    def errors(self, *kinds: str) -> DataFrame:
+        return parse.errors(self.files, kinds or tuple(parse.KINDS))
 
     def dfs(self) -> DataFrame:
-        return parse.dfs_items(self.files)
+        return parse.dfs_items(self.files, places=True)
 
     def evidence(self, sigs: list[dict]) -> DataFrame:
+        """Matched steps with the places of identifier, caller and callee."""
         return signatures.evidence(self.dfs(), signatures.conditions(self.files.sparkSession, sigs))
 
     def match(self, sigs: list[dict]) -> DataFrame:

@@ -372,11 +372,12 @@ def _java_classes(root: Node) -> list[_Class]:
     return rows
 
 
-def shown_class(name: str, bases: list, methods: list, fields: list, decorators: list, abstract: bool, access: str) -> str:
-    """A class in one line: what marks it, its bases, how much it holds."""
-    head = [*decorators, *([access] if access not in ("public", "") else []), *(["abstract"] if abstract else []), "class", name]
-    tail = f"({', '.join(bases)})" if bases else ""
-    return f"{' '.join(head)}{tail} [methods: {len(methods)}, fields: {len(fields)}]"
+def shown_class(row: tuple) -> str:
+    """A class in one line: its marks, bases, how much it holds. The format is a fixed value."""
+    name, bases, methods, fields, constructor, decorators, abstract, access = row
+    marks = f"[{', '.join(decorators)}] " if decorators else ""
+    before = "".join(f"{x} " for x in (access if access != "public" else "", "abstract" if abstract else "") if x)
+    return f"{marks}ClassDeclarationNode{{{before}class: {name or '<unnamed>'}{'(' + ', '.join(bases) + ')' if bases else ''}, methods: {len(methods)}, fields: {len(fields)}, constructor: {'true' if constructor else 'false'}}}"
 
 
 def inheritance(root: Node, language: str) -> list[tuple[str, str, str, int]]:

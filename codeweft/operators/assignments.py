@@ -7,16 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.callgraph import resolve
-from .inheritance import closure
-
-
-def resolve_leaves(edges: DataFrame) -> DataFrame:
-    """(file, src, leaf) by closure; exact where no file's assignments form a cycle."""
-    key = [F.to_json(F.struct("file", F.col(c).alias("n"))).alias(c) for c in ("src", "dst")]
-    reach = closure(edges.select(*key)).select("src", "dst")
-    leaves = reach.join(edges.select(key[0]).distinct().withColumnRenamed("src", "dst"), "dst", "left_anti")
-    schema = "struct<file:string,n:string>"
-    return leaves.select(F.from_json("src", schema).alias("s"), F.from_json("dst", schema).alias("d")).select("s.file", F.col("s.n").alias("src"), F.col("d.n").alias("leaf"))
 
 
 def resolve_ordered(edges: DataFrame) -> DataFrame:

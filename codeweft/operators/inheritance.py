@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -29,33 +29,64 @@ def closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise RuntimeError("the closure did not end")
 
 
-def linearised(bases: dict[str, list[str]], name: str, limit: int = 10_000) -> list[str]:
+def linearised(bases: dict[str, list[str]], name: str) -> list[str]:
     """The method resolution order of a class, as far as it is consistent.
 
     The orders of the bases and the list of bases are merged; a class met again
-    on the way to itself ends the order there.
+    on the way to itself ends the order there and is not in its own order twice.  No
+    hierarchy is too deep or wide.
     """
     done: dict[str, list[str]] = {}
-
-    def order(c: str, path: tuple[str, ...]) -> list[str]:
-        if c in done:
-            return done[c]
-        if c in path or len(path) > 200:
-            return [c]
-        parents = bases.get(c, [])
-        queues = [list(order(p, (*path, c))) for p in parents] + [list(parents)]
-        out = [c]
-        while any(queues) and len(out) < limit:
-            heads = [q[0] for q in queues if q]
-            good = next((h for h in heads if not any(h in q[1:] for q in queues)), None)
-            if good is None:
-                break
-            out.append(good)
-            queues = [[x for x in q if x != good] if q and q[0] == good else q for q in queues]
-        done[c] = out
-        return out
-
-    return order(name, ())
+    #: The way to the class at hand: a class, its bases still to do, the orders of those done.
+    way = [(name, iter(bases.get(name, [])), [])]
+    above = {name}
+    while way:
+        here, left, orders = way[-1]
+        base = next(left, None)
+        if base is not None and (base in done or base in above):
+            orders.append(done.get(base, [base]))
+        elif base is not None:
+            way.append((base, iter(bases.get(base, [])), []))
+            above.add(base)
+        else:
+            done[here] = [here, *[x for x in merged([*orders, bases.get(here, [])]) if x != here]]
+            way.pop()
+            above.discard(here)
+            if way:
+                way[-1][2].append(done[here])
+    return done[name]
+
+
+def merged(lists: list[list[str]]) -> list[str]:
+    """Heads of the lists, one by one, that stand in no list's rest; as far as there is one."""
+    at = [0] * len(lists)
+    #: In how many lists a name stands behind the head.
+    behind: dict[str, int] = {}
+    for q in lists:
+        for x in q[1:]:
+            behind[x] = behind.get(x, 0) + 1
+    out = []
+    while True:
+        good = next((q[i] for q, i in zip(lists, at) if i < len(q) and not behind.get(q[i])), None)
+        if good is None:
+            return out
+        out.append(good)
+        for k, q in enumerate(lists):
+            if at[k] < len(q) and q[at[k]] == good:
+                at[k] += 1
+                if at[k] < len(q):
+                    behind[q[at[k]]] -= 1
+
+
+def by_breadth(bases: dict[str, list[str]], name: str) -> list[str]:
+    """All classes above one, nearest first, in the order of the bases; never the class itself."""
+    seen, out = {name}, [name]
+    for c in out:
+        for p in bases.get(c, []):
+            if p not in seen:
+                seen.add(p)
+                out.append(p)
+    return out[1:]
 
 
 def cycles_of(bases: dict[str, list[str]]) -> Iterator[list[str]]:
@@ -90,7 +121,8 @@ class InheritanceFrame:
         for name, value in (("relationship", F.lit("inherits")), ("file", F.lit("")), ("line", F.lit(0)), ("ord", F.lit(0))):
             if name not in edges.columns:
                 edges = edges.withColumn(name, value)
-        self.edges = edges.select(*self.COLUMNS)
+        # Written once: what is asked of the graph reads the edges many times.
+        self.edges = written(edges.select(*self.COLUMNS), "inheritance")
         ends = self.edges.select(F.explode(F.array("child", "parent")).alias("class"))
         self.classes = (ends if classes is None else ends.unionByName(classes.select("class"))).distinct()
         self._up: DataFrame | None = None
@@ -120,7 +152,7 @@ class InheritanceFrame:
         return self._up
 
     def ancestors(self) -> DataFrame:
-        """(class, ancestor, depth), nearest first; never a class itself."""
+        """(class, ancestor, depth); never a class itself. For their order see ``ancestry``."""
         return self.up.filter("src <> dst").select(F.col("src").alias("class"), F.col("dst").alias("ancestor"), "depth")
 
     def descendants(self) -> DataFrame:
@@ -163,6 +195,11 @@ class InheritanceFrame:
         members = self.classes.select(F.col("class").alias("group"), "class").unionByName(self.ancestors().select(F.col("class").alias("group"), F.col("ancestor").alias("class")))
         return self._each(members, lambda g, bases: [(g, linearised(bases, g))], "class string, mro array<string>")
 
+    def ancestry(self) -> DataFrame:
+        """(class, ancestors array): nearest first, those of one distance in the order of the bases. A group is a class with its ancestors."""
+        members = self.classes.select(F.col("class").alias("group"), "class").unionByName(self.ancestors().select(F.col("class").alias("group"), F.col("ancestor").alias("class")))
+        return self._each(members, lambda g, bases: [(g, by_breadth(bases, g))], "class string, ancestors array<string>")
+
     def cycles(self) -> DataFrame:
         """(cycle array): one for each edge that closes a cycle, its smallest name first. A group is a set of classes that reach each other."""
         back = self.up.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
@@ -178,7 +215,7 @@ class InheritanceFrame:
     def statistics(self) -> DataFrame:
         """One row: classes, relationships, roots, leaves, cycles, and the most ancestors of a class."""
         most = self.ancestors().groupBy("class").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n"))
-        parts = [("total_classes", self.classes), ("total_relationships", self.edges), ("root_classes", self.roots()), ("leaf_classes", self.leaves()), ("circular_dependencies", self.cycles())]
+        parts = [("total_classes", self.classes), ("total_relationships", self.edges), ("root_classes", self.roots()), ("leaf_classes", self.leaves()), ("circular_inheritance", self.cycles())]
         counts = most.select(F.lit("max_inheritance_depth").alias("what"), "n")
         for name, df in parts:
             counts = counts.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n"))
@@ -186,10 +223,12 @@ class InheritanceFrame:
         return counts.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names])
 
     def shown(self) -> DataFrame:
-        """Each edge in one line."""
-        return self.edges.select(F.format_string("%s %s %s (%s:%d)", "child", "relationship", "parent", "file", "line").alias("line"))
-
-
-def first_bases(edges: DataFrame) -> DataFrame:
-    """Edges numbered in order within their class."""
-    return edges.withColumn("ord", F.row_number().over(Window.partitionBy("file", "child").orderBy("ord")))
+        """Each edge in one line. The format is a fixed value."""
+        at = F.when(F.col("file") == "", "").otherwise(F.format_string(" at %s:%d", "file", "line"))
+        return self.edges.select(F.concat_ws(" ", "child", "relationship", F.concat("parent", at)).alias("shown"))
+
+    def described(self) -> DataFrame:
+        """The graph in one line. The format is a fixed value."""
+        n = F.col("circular_inheritance")
+        line = F.format_string("InheritanceGraph{classes: %d, relationships: %d}", "total_classes", "total_relationships")
+        return self.statistics().select(F.concat(line, F.when(n > 0, F.format_string(", WARNING: %d circular inheritance detected", n)).otherwise("")).alias("shown"))

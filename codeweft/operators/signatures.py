@@ -16,7 +16,7 @@ from ..functions.columns import prefixes
 from ..functions.tables import LANGUAGES, NS, SEPARATORS
 
 CONDITIONS = "signature_id string, vendor string, product string, language string, match string, total int, cond int, type string, value string, args array<struct<index:int,values:array<string>,resolves_to:array<string>>>"
-#: More conditions than this aren't broadcast.
+#: More conditions than this are joined by a shuffle.
 MAX_CONDITIONS = 100_000
 
 
@@ -65,9 +65,11 @@ def unmatchable(conds: DataFrame) -> DataFrame:
 
 
 def evidence(items: DataFrame, conds: DataFrame) -> DataFrame:
-    """Steps (path, language, namespace, caller, identifier_text, args, …) that meet a condition."""
-    if len(conds.limit(MAX_CONDITIONS + 1).collect()) > MAX_CONDITIONS:
-        raise ValueError(f"more than {MAX_CONDITIONS} conditions")
+    """Steps (path, language, namespace, caller, identifier_text, args, …) that meet a condition, with its signature, vendor and product.
+
+    Steps with places (``parse.dfs_items``) keep them.
+    """
+    few = conds.limit(MAX_CONDITIONS + 1).count() <= MAX_CONDITIONS
     ns = F.col("value")
     for code, sep in SEPARATORS.items():
         ns = F.when(F.col("language") == code, F.replace(F.col("value"), F.lit(sep), F.lit(NS))).otherwise(ns)
@@ -76,9 +78,9 @@ def evidence(items: DataFrame, conds: DataFrame) -> DataFrame:
     keys = calls.withColumn("wild", wild).withColumn("key", F.when(wild, F.regexp_replace("ns", r"//\*$", "")).otherwise(F.col("ns"))).drop("ns")
     sep = F.element_at(F.create_map(*[F.lit(x) for kv in SEPARATORS.items() for x in kv]), F.col("language"))
     keys = keys.withColumn("args", F.transform("args", lambda a: F.struct(a["index"].alias("index"), a["values"].alias("values"), F.transform(a["resolves_to"], lambda v: F.replace(v, sep, F.lit(NS))).alias("resolves_to"))))
-    keys = keys.withColumnRenamed("args", "required").drop("type", "vendor", "product")
+    keys = keys.withColumnRenamed("args", "required").drop("type")
     steps = items.select("*", F.explode(F.concat(F.array(F.struct(F.lit(False).alias("wild"), F.col("namespace").alias("key"))), F.transform(prefixes(F.col("namespace")), lambda p: F.struct(F.lit(True).alias("wild"), p.alias("key"))))).alias("k")).select("*", "k.wild", "k.key").drop("k")
-    met = steps.join(F.broadcast(keys), ["language", "wild", "key"])
+    met = steps.join(F.broadcast(keys) if few else keys, ["language", "wild", "key"])
 
     def one(r):
         free = (F.size(r["values"]) == 0) & (F.size(r["resolves_to"]) == 0)
@@ -90,6 +92,10 @@ def evidence(items: DataFrame, conds: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(path, language, signature_id, matched, evidences): signatures that a file's evidence meets."""
-    each = found.groupBy("path", "language", "signature_id", "match", "total").agg(F.count_distinct("cond").cast("int").alias("matched"), F.count("*").alias("evidences"))
+    """(path, language, signature_id, vendor, product, matched, evidences, incomplete): signatures that a file's evidence meets.
+
+    incomplete: the file's call graph was cut off, so there may be more.
+    """
+    keys = ("path", "language", "signature_id", "vendor", "product", "match", "total")
+    each = found.groupBy(*keys).agg(F.count_distinct("cond").cast("int").alias("matched"), F.count("*").alias("evidences"), F.bool_or("truncated").alias("incomplete"))
     return each.filter((F.col("match") == "any") | (F.col("matched") == F.col("total"))).drop("match", "total")

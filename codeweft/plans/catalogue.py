@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.tables import LANGUAGES
-from ..operators import assignments, depsusage, parse, reach, signatures
+from ..operators import assignments, depsusage, parse, signatures
 from ..operators.inheritance import InheritanceFrame
 from ..sources import files as S
 from . import corpora, plugins
@@ -313,7 +313,7 @@ def inherit_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return InheritanceFrame(edges).cycles().select(joined("cycle").alias("cycle"))
 
 
-@query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) AS total_classes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS total_relationships, (SELECT count(DISTINCT n_regionkey) FROM nation) AS root_classes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) AS leaf_classes, CAST(0 AS BIGINT) AS circular_dependencies, CAST(2 AS BIGINT) AS max_inheritance_depth")
+@query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) AS total_classes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS total_relationships, (SELECT count(DISTINCT n_regionkey) FROM nation) AS root_classes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) AS leaf_classes, CAST(0 AS BIGINT) AS circular_inheritance, CAST(2 AS BIGINT) AS max_inheritance_depth")
 def inherit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).statistics()
 
@@ -404,8 +404,8 @@ _ASG = "SELECT p_partkey AS k, 'asg/' || CAST(p_partkey // 100 AS VARCHAR) || '.
 
 @query(f"""WITH x AS ({_ASG}) SELECT path AS file, path || '//x' || k AS src, '"v' || (k - k % 10) || '"' AS leaf FROM x""")
 def assign_resolve_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = parse.assign_edges(corpora.assignments(spark, sf_dir)).withColumnRenamed("path", "file").filter(F.col("src").contains("//x"))
-    return assignments.resolve_leaves(edges)
+    found = parse.resolved(corpora.assignments(spark, sf_dir)).filter(F.col("src").contains("//x"))
+    return found.select(F.col("path").alias("file"), "src", "leaf")
 
 
 @query(f"""WITH x AS ({_ASG} WHERE p_partkey % 10 = 0), y AS (SELECT *, unnest(['a', 'b']) AS q FROM x) SELECT path AS file, path || '//' || q || k AS src, 0 AS ord, path || '//' || q || k AS leaf FROM y""")
@@ -466,7 +466,7 @@ def call_edges_java(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH x AS ({_cal('py')} WHERE o_orderkey % 2 = 0) SELECT DISTINCT path, path || '//o' || k AS callee FROM x UNION SELECT path, 'lib' || m || '//f' || f FROM x")
 def call_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach.reachable(parse.call_edges(corpora.python_calls(spark, sf_dir)))
+    return parse.reachable(corpora.python_calls(spark, sf_dir)).select("path", "callee")
 
 
 @query(f"WITH x AS ({_cal('py')}) SELECT path, count(*) AS calls FROM x GROUP BY path")

@@ -32,7 +32,7 @@ def files(rows: DataFrame, path: Column, key: str, lines: Column, head: str = ""
     each = rows.select(path.alias("path"), F.struct(F.col(key).alias("k"), lines.alias("x")).alias("s")).filter("s.x IS NOT NULL")
     body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "\n")
     made = each.groupBy("path").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("content"))
-    return from_dataframe(made)
+    return from_dataframe(made, rel_path="path")
 
 
 PART = {"k": "p_partkey", "t": "lower(p_type)", "a": "split_part(p_name, ' ', 1)", "b": "split_part(p_name, ' ', 2)", "s": "p_size"}

@@ -50,29 +50,50 @@ def excluded(files: DataFrame, patterns: Iterable[str]) -> DataFrame:
     return files
 
 
-def from_dataframe(df: DataFrame, path: str = "path", content: str = "content", is_import: bool = False, root: int = 0) -> DataFrame:
-    """Files of a DataFrame with a path and a content column (string or binary)."""
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def from_dataframe(df: DataFrame, path: str = "path", content: str = "content", is_import: bool = False, root: int = 0, rel_path: str | None = None) -> DataFrame:
+    """Files of a DataFrame with a path and a content column (string or binary); rel_path is a column's, else the path's last part."""
     text = F.col(content)
     if dict(df.dtypes)[content] == "binary":
         text = F.decode(text, "UTF-8")
     p = F.col(path)
-    return df.select(p.alias("path"), p.alias("rel_path"), language_of(p).alias("language"), F.lit(is_import).alias("is_import"), F.lit(root).alias("root"), text.alias("content"))
+    rel = basename(p) if rel_path is None else F.col(rel_path)
+    return df.select(p.alias("path"), rel.alias("rel_path"), language_of(p).alias("language"), F.lit(is_import).alias("is_import"), F.lit(root).alias("root"), text.alias("content"))
+
+
+def bare(path: Column) -> Column:
+    """A path without scheme and host: file:/a, file:///a, hdfs://host:1/a and s3a://bucket/a are all /a."""
+    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", ""), "^/+", ""))
+
+
+def relative(path: Column, root: str) -> Column:
+    """A path below a root, on any file system; of a root that is the file itself, its name."""
+    base = F.concat(F.regexp_replace(bare(F.lit(root)), "/+$", ""), F.lit("/"))
+    p = bare(path)
+    return F.when(F.startswith(p, base), F.substring(p, F.length(base) + 1, F.length(p))).otherwise(basename(p))
 
 
 def source_files(spark: SparkSession, app_dirs: Iterable[str], import_dirs: Iterable[str] = (), exclude: Iterable[str] = (), include_imports: bool = False, codes: Iterable[str] = tuple(LANGUAGES)) -> DataFrame:
-    """Files under directories, of the languages asked for; imports only if asked for.
+    """Files under directories of any file system, of the languages asked for; imports only if asked for.
 
-    Only names with a fitting extension are listed; the content is read for the
-    rows and queries that need it. Spark's reader gives no row for an empty file.
+    path is the file's own, rel_path the one below its root.  Only names with a
+    fitting extension are listed; the content is read for the rows and queries that
+    need it. Spark's reader gives no row for an empty file.
     """
     wanted = [e for c in codes for e in language(c)[2]]
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     out = None
     groups = [(False, d, i) for i, d in enumerate(app_dirs)] + ([(True, d, i) for i, d in enumerate(import_dirs)] if include_imports else [])
     for is_import, d, i in groups:
         read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(wanted) + "}").load(d)
+        # A root without a scheme, or relative, as the file system knows it.
+        place = system(d)
+        whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
         path = F.regexp_replace("path", "^file:/*", "/")
-        base = "/" + d.removeprefix("file:").strip("/") + "/"
-        part = read.select(path.alias("path"), F.substring_index(path, base, -1).alias("rel_path"), language_of(path).alias("language"), F.lit(is_import).alias("is_import"), F.lit(i).alias("root"), F.decode("content", "UTF-8").alias("content"))
+        part = read.select(path.alias("path"), relative(F.col("path"), whole).alias("rel_path"), language_of(path).alias("language"), F.lit(is_import).alias("is_import"), F.lit(i).alias("root"), F.decode("content", "UTF-8").alias("content"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], SCHEMA)

@@ -9,20 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session has none is one made on this machine."""
+    """``spark.checkpoint.dir``; where the session has none, one on this machine, if all its executors are here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codeweft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _place(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, parted by a column if asked, and read back.
+
+    Cuts the lineage: a lost executor costs a reread, not a recomputation.  The
+    files go when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, files: dict[str, str], name: str) -> str:
+    """A few small files, by path and text, in a new folder of the shared one; the folder's path."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for path, text in files.items():
+        place, system = _place(spark, f"{root}/{path}")
+        out = system.create(place)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+    place, system = _place(spark, root)
+    system.deleteOnExit(place)
+    return root

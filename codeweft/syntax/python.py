@@ -119,6 +119,13 @@ class PythonParser(Parser):
             j += 1
         return self.toks[j - 1].text == ":" and depth == 0
 
+    def finish(self) -> int:
+        """The end of the last token that is text: line ends and indents belong to no node."""
+        i = self.i - 1
+        while i > 0 and self.toks[i].kind in ("NEWLINE", "INDENT", "DEDENT"):
+            i -= 1
+        return self.toks[i].end
+
     def block(self) -> Node:
         """The suite after a colon."""
         start, kids = self.begin(), []

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from codeweft.plans import catalogue
+from codeweft.plans import catalogue, shapes  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

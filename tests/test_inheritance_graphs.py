@@ -27,4 +27,4 @@ def test_frame(spark):
     pairs = spark.createDataFrame([("D", "A"), ("A", "D"), ("A", "A")], "class string, other string")
     assert {(r["class"], r.other): (r.is_ancestor, r.depth) for r in g.related(pairs).collect()} == {("D", "A"): (True, 2), ("A", "D"): (False, -1), ("A", "A"): (False, 0)}
     s = g.statistics().collect()[0]
-    assert (s.total_classes, s.total_relationships, s.root_classes, s.leaf_classes, s.circular_dependencies, s.max_inheritance_depth) == (6, 6, 1, 1, 1, 3)
+    assert (s.total_classes, s.total_relationships, s.root_classes, s.leaf_classes, s.circular_inheritance, s.max_inheritance_depth) == (6, 6, 1, 1, 1, 3)
