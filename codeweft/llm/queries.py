@@ -69,6 +69,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"), RULES, url_filter.labelled_urls(spark))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, without the model."""
+    host, path = url_filter.host_and_path(F.col("url").cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule = url_filter.longest_rule(F.col("host"), F.col("path"), RULES)
+    return rows.withColumn("r", rule).select("page_id", "host", "path", F.concat("r.host", "r.path").alias("rule"), F.col("r.verdict").alias("verdict"))
+
+
+def mixing_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, documents and quota of every source."""
+    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").cast("string").alias("source"))
+    totals = docs.agg(F.sum(mixing.words(F.col("text"))).alias("tokens"), F.count("*").alias("docs"))
+    return mixing.source_weights(totals, max_repeats=MAX_REPEATS).select("source", "tokens", "docs", "quota", "met")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -80,6 +95,23 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filter": op10_url_filter,
+    "url_rules": url_rules,
+    "mixing_quotas": mixing_quotas,
+}
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+#: What of the operators SQL can tell. Models, hashes and tokenizers it can't: tests/llm compares those with brute-force versions.
+ORACLES: dict[str, str] = {
+    "url_rules": f"""WITH x AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+y AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1), '') AS path FROM x),
+r(h, p, v) AS (VALUES {_RULES}),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p) * 1000 + length(h)) AS rule, arg_max(v, length(h || p) * 1000 + length(h)) AS verdict FROM y JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT y.page_id, host, path, rule, verdict FROM y LEFT JOIN fit USING (page_id)""",
+    "mixing_quotas": f"""WITH RECURSIVE t AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+'))) AS BIGINT) AS tokens, count(*) AS docs FROM documents GROUP BY source),
+s AS (SELECT list(CAST(tokens AS DOUBLE) / total) FILTER (WHERE tokens > 0) AS ps, any_value(total) AS total FROM t, (SELECT sum(tokens) AS total FROM t)),
+b(i, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+ SELECT i + 1, CASE WHEN high THEN (lo + hi) / 2 ELSE lo END, CASE WHEN high THEN hi ELSE (lo + hi) / 2 END FROM (SELECT i, lo, hi, list_max(list_transform(ps, lambda x: pow(x, (lo + hi) / 2 - 1))) / list_min(list_transform(ps, lambda x: pow(x, (lo + hi) / 2 - 1))) > {MAX_REPEATS} AS high FROM b, s WHERE i < {mixing.STEPS})),
+e AS (SELECT CASE WHEN list_max(list_transform(ps, lambda x: pow(x, -1))) / list_min(list_transform(ps, lambda x: pow(x, -1))) > {MAX_REPEATS} THEN (SELECT hi FROM b ORDER BY i DESC LIMIT 1) ELSE 0 END AS a, ps, total FROM s),
+z AS (SELECT a, ps, total, list_sum(list_transform(ps, lambda x: pow(x, a))) AS z FROM e),
+q AS (SELECT a, total, z, list_max(list_transform(ps, lambda x: x / (pow(x, a) / z))) * total AS scale FROM z)
+SELECT source, tokens, docs, CASE WHEN tokens = 0 THEN 0 ELSE least(CAST(round(pow(CAST(tokens AS DOUBLE) / total, a) / z * scale) AS BIGINT), CAST(round(tokens * {MAX_REPEATS}) AS BIGINT)) END AS quota, true AS met FROM t, q""",
 }
-#: No operator here can be told in SQL that DuckDB runs; tests/llm compares each with a brute-force version.
-ORACLES: dict[str, str] = {}

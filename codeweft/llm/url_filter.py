@@ -29,15 +29,31 @@ from .common import written
 
 GRAMS = (2, 3, 4)
 BUCKETS = 4096
-STEPS, RATE, PENALTY = 400, 0.5, 0.01
+STEPS, RATE, PENALTY = 200, 0.5, 0.01
 MAX_LABELLED = 1000
 MAX_RULES = 10_000
 
-#: A small table of invented URLs: 1 is to be blocked.
-LABELLED = (
-    [(f"https://{host}/{path}", 0) for host in ("docs.example.org", "www.example.org", "library.example.edu", "news.example.net", "blog.example.org", "m.example.com") for path in ("en/1204", "de/guide.html", "fr/77", "articles/history#top", "es/index.html")]
-    + [(f"http://{host}/{path}", 1) for host in ("free-casino.example.biz", "win-prizes.example.info", "cheap-pills.example.biz", "adult-cams.example.xxx", "clicks.example.top", "warez.example.info") for path in ("bonus?ref=88", "buy-now.html?utm_source=spam", "xxx/free", "download.exe", "win/win/win.php?id=9")]
-)
+#: Words of host names to be blocked and of others, and paths of both, from which a small table of invented URLs is made.
+BAD = "casino poker slots bet bets jackpot lottery win winner prize bonus free cheap pills viagra pharma adult porn xxx sex cams dating escort ads adserver track tracker click popup spam scam phish warez crack keygen torrent malware replica loan crypto".split()
+GOOD = "news library museum school university college hospital council weather garden kitchen recipe history science physics travel railway museum music theatre book reader sport football farm bakery archive journal forum city river mountain energy health law court art film radio guide manual open data linux python garden bird forest nature energy bank post office sea harbour letter nation rest thing other land then".split()
+BAD_PATHS = ("bonus?ref=88", "buy-now.html?utm_source=spam", "free/download.exe", "win/win.php?id=9", "click?aff=7")
+PATHS = ("en/1204", "de/guide.html", "fr/77", "es/index.html", "articles/history#top", "news/2021/05/report", "", "blog/3?page=2", "about.html", "docs/a/b.html?utm_source=feed")
+PREFIXES, TLDS = ("www.", "", "m.", "blog.", "shop."), ("com", "net", "org", "info", "de", "fr")
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """(url, 1 for what is to be blocked): three hosts for each word; two of three bad ones have paths like the others'."""
+    out = []
+    for label, words in ((1, BAD), (0, sorted(set(GOOD)))):
+        for i, word in enumerate(words):
+            for k, mate in enumerate((words[(i * 7 + 3) % len(words)], str(i % 9 + 1), "")):
+                name = f"{word}{'-' if i % 2 and mate else ''}{mate}"
+                path = BAD_PATHS[i % len(BAD_PATHS)] if label and k == i % 3 else PATHS[(3 * i + k) % len(PATHS)]
+                out.append((f"http{'s' if i % 2 else ''}://{PREFIXES[(i + 2 * k) % len(PREFIXES)]}{name}.example{i % 4 or ''}.{TLDS[(i + k) % len(TLDS)]}/{path}", label))
+    return out
+
+
+LABELLED = _labelled()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,7 +81,7 @@ def _dot(xs: Column, ys: Column) -> Column:
 
 def train(labelled: DataFrame) -> DataFrame:
     """One row (intercept double, weights array<double> of BUCKETS) for labelled (url, label)."""
-    if len(labelled.limit(MAX_LABELLED + 1).collect()) > MAX_LABELLED:
+    if labelled.limit(MAX_LABELLED + 1).count() > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
     host, path = host_and_path(F.col("url"))
     f = features(host, path)
@@ -91,10 +107,14 @@ def train(labelled: DataFrame) -> DataFrame:
     begin = F.struct(F.transform("ys", lambda y: F.lit(0.0)).alias("a"), F.lit(0.0).alias("b"))
     fit = written(one.select("fs", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, step).alias("m")), "url-model")
     spread = fit.select(F.posexplode("fs").alias("i", "f"), "m").select(F.explode("f").alias("j"), (F.col("m.a")[F.col("i")] / F.sqrt(F.size("f").cast("double"))).alias("w"))
-    sums = spread.groupBy("j").agg(F.sum("w").alias("w"))
+    # The intercept goes along as a bucket of its own.
+    sums = spread.groupBy("j").agg(F.sum("w").alias("w")).unionByName(fit.select(F.lit(-1).alias("j"), F.col("m.b").alias("w")))
     full = F.map_from_entries(F.collect_list(F.struct("j", "w")))
-    weights = sums.agg(full.alias("w")).select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda j: F.coalesce(F.try_element_at(F.col("w"), j), F.lit(0.0))).alias("weights"))
-    return fit.select(F.col("m.b").alias("intercept")).withColumn("k", F.lit(1)).join(weights.withColumn("k", F.lit(1)), "k").select("intercept", "weights")
+
+    def weight(j: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("w"), j), F.lit(0.0))
+
+    return sums.agg(full.alias("w")).select(weight(F.lit(-1)).alias("intercept"), F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), weight).alias("weights"))
 
 
 def _constant(values: Sequence[float]) -> Column:

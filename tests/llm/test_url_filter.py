@@ -72,3 +72,19 @@ def test_plan_has_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
     plan = uf.verdicts(pages, queries.RULES, uf.labelled_urls(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def test_held_out_urls(spark):
+    rows = [(i, u, y) for i, (u, y) in enumerate(uf.LABELLED)]
+    right = 0
+    for part in range(3):
+        learn = spark.createDataFrame([(u, y) for i, u, y in rows if i % 3 != part], "url string, label int")
+        held = spark.createDataFrame([(i, u) for i, u, _ in rows if i % 3 == part], "page_id bigint, url string")
+        found = {r.page_id: r.verdict for r in uf.verdicts(held, [], learn).collect()}
+        right += sum((found[i] == "block") == bool(y) for i, _, y in rows if i in found)
+    assert right / len(rows) > 0.9 and len({u.split("/")[2] for u, _ in uf.LABELLED}) > 250
+
+
+def test_no_join_without_a_key(spark):
+    plan = uf.train(uf.labelled_urls(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
