@@ -18,7 +18,9 @@ allowing for its length, is rejected; so is a text without a letter.
 
 The models are fit on labelled documents up to SAMPLE_DOCS a language in
 expectation, chosen by a hash of doc_id, their whole texts; all their n-grams are
-counted, so the sample alone bounds what the driver holds.
+counted, so the sample alone bounds what the driver holds and broadcasts: 4 bytes
+for each language and each n-gram of any of them, so that with hundreds of languages
+``sample_docs`` is to be chosen smaller.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and
 rejected; without any labelled document all are; equal rows get equal results;
@@ -38,7 +40,6 @@ from .common import fold, uniform
 
 ORDER = 4
 SAMPLE_DOCS = 3000
-MAX_LANGUAGES = 500
 CALIBRATION = 5
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 3.0
 #: Characters over which a text's cross-entropy settles.
@@ -245,9 +246,7 @@ def share_of(count: int, sample_docs: int) -> float:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the languages of ``docs`` (doc_id, text, lang); rows without lang or letters teach nothing."""
     rows = docs.filter("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").count().collect()  # a row for each language
     shares = {r["lang"]: share_of(r["count"], sample_docs) for r in sizes}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(x)) for lang, x in shares.items()]) if sizes else F.lit(0.0)
     sample = rows.filter(uniform(F.col("id"), F.length("t")) < share).select("lang", "t", (F.pmod(F.xxhash64(F.lit(3), "id", F.length("t")), F.lit(CALIBRATION)) == 0).alias("kept"))

@@ -30,8 +30,18 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id bigint, field int, section int, char_start bigint, char_end bigint, n_tokens bigint"
 
 
-def encoding(path: str, pattern: str):
-    """A byte-level BPE from a file of ranks, and the byte length of each token."""
+#: One for each vocabulary and pattern in a worker process, which runs many tasks.
+_ENCODINGS: dict[tuple[str, str], tuple] = {}
+
+
+def encoding(path: str, pattern: str) -> tuple:
+    """A byte-level BPE from a file of ranks, and the byte length of each token; read once in a process."""
+    if (path, pattern) not in _ENCODINGS:
+        _ENCODINGS[path, pattern] = _read(path, pattern)
+    return _ENCODINGS[path, pattern]
+
+
+def _read(path: str, pattern: str) -> tuple:
     import tiktoken
 
     with open(path, "rb") as f:

@@ -129,3 +129,10 @@ def test_differences_carry_their_side(spark):
     made = row.select("a", "b", fp.sketch(F.col("a")).alias("x"), fp.sketch(F.col("b")).alias("y"))
     for r in made.select("a", "b", fp.differences(F.col("x"), F.col("y")).alias("d")).collect():
         assert set(r.d.a) == set(r.a) - set(r.b) and set(r.d.b) == set(r.b) - set(r.a)
+
+
+def test_clashing_columns_are_ignored(docs):
+    rows = [(i, t, "x", "y", 1) for i, t in sample(random.Random(33), 12)]
+    plain = fp.fingerprints(docs(rows))
+    other = docs(rows).withColumnsRenamed({"lang": "bucket", "source": "fingerprint"}).withColumn("a", F.lit(1)).withColumn("m", F.lit("m")).withColumn("head", F.lit(None)).withColumn("next_text", F.lit("no"))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, fp.fingerprints(other).collect()))
