@@ -8,6 +8,7 @@ number of rounds is the depth of the deepest hierarchy; cycles end by themselves
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,17 +17,22 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 
-def closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: Rounds after which the pairs found are written as one table, so that plans stay small.
+COMPACT = 8
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): every name reached from src, itself only through a cycle, by the shortest way."""
     direct = written(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     found = last = written(direct.withColumn("depth", F.lit(1)), "reach")
-    for depth in range(2, max_rounds):
+    for depth in count(2):
         new = last.alias("a").join(direct.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
         new = written(new.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if new.isEmpty():
             return found
         found, last = found.unionByName(new), new
-    raise RuntimeError("the closure did not end")
+        if depth % COMPACT == 0:
+            found = written(found, "reach")
 
 
 def linearised(bases: dict[str, list[str]], name: str) -> list[str]:
