@@ -24,13 +24,13 @@ KEY_ROWS, HOT_KEYS = 64, 100_000
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join where a key of ``left`` may hold a large share of its rows.
 
-    right: one row for each key, with the number ``n`` of left's rows that hold it; total: left's rows.
-    A key with more rows than a limit is dealt to as many parts as it needs, its row of ``right`` repeated for each.
+    right: rows with the number ``n`` of left's rows that hold their key; total: left's rows.
+    A key with more rows than a limit is dealt to as many parts as it needs, its rows of ``right`` repeated for each.
     The limit rises with the table, so that at most HOT_KEYS keys are over it: only those are broadcast.
     """
     limit = max(KEY_ROWS, -(-total // HOT_KEYS))
     parts = F.ceil(F.col("n") / limit).cast("int")
-    hot = F.broadcast(right.filter(F.col("n") > limit).select(*keys, parts.alias("__parts")))
+    hot = F.broadcast(right.filter(F.col("n") > limit).select(*keys, parts.alias("__parts")).distinct())
     dealt = left.join(hot, keys, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("__parts"))).cast("int")).drop("__parts")
     repeated = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
     return dealt.join(repeated, [*keys, "__part"]).drop("__part")
