@@ -16,7 +16,9 @@ often.
 Lists are cut into parts of about PART vectors, so a vector that is very common
 fills many tasks and not one; each part gives its own nearest for a query, by
 exact cosine in double precision on the original vectors, and the parts' results
-are merged.  Queries meet the parts of their lists by equality join.
+are merged.  Queries meet the parts of their lists in one shuffle, sorted so that a
+part's vectors come first and its queries stream past them: a task holds one part and
+a batch of queries, however many queries visit a list.
 
 Defined results: vectors that are null, zero, of another length than most or
 hold null or non-finite values take no part, neither do rows without vec_id;
@@ -39,6 +41,8 @@ LIST_SIZE, MAX_LISTS = 256, 2000
 REPLICAS, SPREAD = 4, 0.10
 LEAST_LISTS, TARGET, CHECKED = 8, 0.93, 500
 PART = 2048
+#: Rows of lists to visit that are given out at once.
+VISITS = 8192
 DEGREE, BREADTH = 24, 96
 
 
@@ -170,6 +174,21 @@ def built(sample: np.ndarray, total: int, k: int) -> Graph:
     return Graph(centre, least_ratio(sample, centre, k))
 
 
+def streamed(frames, nearest):
+    """nearest(vectors, queries) of each part, for a batch of its queries at a time; frames: sorted by list, part and asks."""
+    part, held = None, []
+    for pdf in frames:
+        for (*key, asks), rows in pdf.groupby(["list", "part", "asks"]):
+            if key != part:
+                part, held = key, []
+            if not asks:
+                held.append(rows[["vec_id", "v"]])
+            elif held:
+                held = [pd.concat(held, ignore_index=True)]
+                for i in range(0, len(rows), 512):
+                    yield nearest(held[0], rows[i : i + 512].rename(columns={"vec_id": "query_id", "v": "q"}))
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row for which ``queries`` (on the id column) holds."""
     spark = vectors.sparkSession
@@ -207,7 +226,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                 n = lists_of(distance, shared.value.ratio)
                 at += [i] * n
                 to.append(lists[:n])
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "list": np.concatenate(to).astype(np.int32)})
+                if len(at) >= VISITS or i + 1 == len(pdf):
+                    yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "list": np.concatenate(to).astype(np.int32)})
+                    at, to = [], []
 
     kind = "vec_id bigint, v array<double>, list int"
     index = written(rows.mapInPandas(placed, kind), "postings")
@@ -238,7 +259,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                 out.append(pd.DataFrame({"query_id": q_ids[i + j], "vec_id": ids[near[best]], "score": exact[best]}))
         return pd.concat(out, ignore_index=True)
 
-    met = left.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(nearest, "query_id bigint, vec_id bigint, score double")
+    both = left.withColumn("asks", F.lit(False)).unionByName(asked.select("list", "part", F.col("query_id").alias("vec_id"), F.col("q").alias("v"), F.lit(True).alias("asks")))
+    dealt = both.repartition("list", "part").sortWithinPartitions("list", "part", "asks")
+    met = dealt.mapInPandas(lambda frames: streamed(frames, nearest), "query_id bigint, vec_id bigint, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from codeweft.llm import ann
@@ -95,3 +96,21 @@ def test_huge_and_tiny_components(spark):
     want = slow(list(range(60)), m, [0, 50])
     assert {(r.query_id, r.rank): r.vec_id for r in found} == {(q, k + 1): i for q, x in want.items() for k, (i, _) in enumerate(x)}
     assert all(abs(r.score - dict(want[r.query_id])[r.vec_id]) < 1e-9 for r in found)
+
+
+def test_a_part_meets_its_queries_in_batches():
+    met = []
+
+    def nearest(lists, asks):
+        met.append((lists["vec_id"].tolist(), len(asks)))
+        return asks
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["list", "part", "asks", "vec_id", "v"])
+
+    first = [(0, 0, False, i, [1.0]) for i in range(3)] + [(0, 0, True, i, [1.0]) for i in range(700)]
+    second = [(0, 0, True, i, [1.0]) for i in range(100)] + [(0, 1, True, 5, [1.0])] + [(1, 0, False, 9, [1.0])]
+    third = [(1, 0, False, 10, [1.0]), (1, 0, True, 1, [1.0])]
+    got = list(ann.streamed([frame(first), frame(second), frame(third)], nearest))
+    assert met == [([0, 1, 2], 512), ([0, 1, 2], 188), ([0, 1, 2], 100), ([9, 10], 1)]
+    assert sum(map(len, got)) == 801
